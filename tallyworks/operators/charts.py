@@ -19,15 +19,17 @@ def histogram(
         .groupBy(*by, position.alias("bin"))
         .agg(F.count("*").alias("n"))
     )
-    every_bin = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    groups = counts.select(*by).distinct() if by else df.sparkSession.range(1)
-    empty = groups.select(*by, every_bin).withColumn("n", F.lit(0).cast("bigint"))
+    # A group's map has no more entries than there are bins.
+    filled = counts.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_filled")
+    )
+    every_bin = F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
     width = (high - low) / bins
-    return (
-        counts.unionByName(empty)
-        .groupBy(*by, "bin")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("bin_from", low + F.col("bin") * F.lit(width))
+    return filled.withColumn("bin", every_bin).select(
+        *by,
+        "bin",
+        F.coalesce(F.col("_filled")[F.col("bin")], F.lit(0)).alias("n"),
+        (low + F.col("bin") * F.lit(width)).alias("bin_from"),
     )
 
 

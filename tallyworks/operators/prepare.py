@@ -114,6 +114,8 @@ def explode_topics(df: DataFrame, col: str, separator: str | None = None) -> Dat
     ``col`` is an array, or with ``separator`` a text that is split at that pattern. The
     result has ``topic`` in place of ``col``.
     """
-    topics = F.split(col, separator) if separator is not None else F.col(col)
-    trimmed = F.filter(F.transform(topics, F.trim), lambda t: t != "")
-    return df.withColumn("topic", F.explode(F.array_distinct(trimmed))).drop(col)
+    topics = F.col(col)
+    if separator is not None:
+        topics = F.transform(F.split(col, separator), F.trim)
+    rows = df.withColumn("topic", F.explode(F.array_distinct(topics))).drop(col)
+    return rows.filter(F.col("topic") != "")

@@ -11,18 +11,24 @@ from .distribution import combine, quantiles, share_of_total
 def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """One row per column: rows, nulls, distinct values, smallest and largest as text.
 
-    All columns in one pass. ``exact=True`` counts distinct values exactly, which
-    multiplies the shuffled rows by the number of columns.
+    All columns in one pass, with estimated distinct counts. ``exact=True`` counts them
+    in a second pass, which shuffles every distinct value of every column; it is kept
+    apart so that the minima and maxima do not travel with it.
     """
-    distinct = F.count_distinct if exact else F.approx_count_distinct
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(df.columns):
         aggs += [
             F.count(c).alias(f"known_{i}"),
-            distinct(c).alias(f"distinct_{i}"),
             F.min(c).cast("string").alias(f"min_{i}"),
             F.max(c).cast("string").alias(f"max_{i}"),
         ]
+    count = F.count_distinct if exact else F.approx_count_distinct
+    distinct = [count(c).alias(f"distinct_{i}") for i, c in enumerate(df.columns)]
+    if exact:
+        counted = df.agg(*distinct).select(F.struct("*")).scalar()
+        summary = df.agg(*aggs).withColumn("_d", counted).select("*", "_d.*")
+    else:
+        summary = df.agg(*aggs, *distinct)
     entries = [
         F.struct(
             F.lit(c).alias("column"),
@@ -34,7 +40,7 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
         )
         for i, c in enumerate(df.columns)
     ]
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+    return summary.select(F.inline(F.array(*entries)))
 
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

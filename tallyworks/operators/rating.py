@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import ratio
 from .distribution import rank_rows
@@ -52,6 +52,7 @@ def rating(
     region: str,
     threshold: float,
     measures: tuple[str, ...] = ("revenue", "net_profit"),
+    capacity: str = "cap_region",
 ) -> DataFrame:
     """Rating of a region's companies by the year's revenue.
 
@@ -62,7 +63,7 @@ def rating(
     recent = df.filter(F.col("year").between(year - 1, year))
     for measure in measures:
         recent = growth(recent, "company_id", "year", measure)
-    scoped = min_revenue(in_region(recent, region, capacity="cap_regions"), year, threshold)
+    scoped = min_revenue(in_region(recent, region, capacity=capacity), year, threshold)
     rated = return_on_sales(scoped).select(
         "company_id",
         "sector",
@@ -71,8 +72,3 @@ def rating(
         *[c for m in measures for c in (f"{m}_growth", f"{m}_from_loss")],
     )
     return rank_rows(rated, "revenue", "place")
-
-
-def by_place(place: str = "place", key: str = "company_id") -> list[Column]:
-    """The order in which a rating is shown."""
-    return [F.col(place), F.col(key)]

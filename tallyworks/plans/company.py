@@ -63,7 +63,10 @@ def rating_leaders(spark, d):
 
 
 def rating_table(spark, d):
-    return plain(rating(company_profile(spark, d, *TWO_YEARS), RATING_YEAR, REGION, THRESHOLD))
+    years = enrich(
+        company_profile(spark, d, *TWO_YEARS), registrations(spark, d), ["company_id"]
+    )
+    return plain(rating(years, RATING_YEAR, REGION, THRESHOLD, capacity="cap_regions"))
 
 
 QUERIES = {

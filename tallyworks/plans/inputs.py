@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import ratio
 from ..operators.experiment import sessions as to_sessions
-from ..operators.scope import enrich, in_period
+from ..operators.scope import in_period
 from ..sources import materialise
 from .tables import money, table
 
 RATING_YEAR = 2000
 REGION = "EUROPE"
 THRESHOLD = 4_000_000
-CAPACITY_SHARE = 0.25
+CAPACITY_SHARE = Decimal("0.25")
 SESSION_GAP = 6 * 3600
 
 
@@ -59,7 +61,8 @@ def sales(
 def company_lines(lines: DataFrame) -> DataFrame:
     """Revenue and profits of each line; the seller is the company, the part type its sector."""
     revenue = money("l_extendedprice") * (1 - money("l_discount", "decimal(4,2)"))
-    cost = 2 * money("l_quantity") * money("p_retailprice")
+    # Products of up to 18 digits, which Spark keeps in a long.
+    cost = 2 * money("l_quantity", "decimal(6,2)") * money("p_retailprice", "decimal(9,2)")
     tax = money("l_tax", "decimal(4,2)")
     return lines.select(
         "*",
@@ -82,10 +85,8 @@ def company_year(
     )
 
 
-def company_profile(
-    spark: SparkSession, d: str, first: str, last: str
-) -> DataFrame:
-    """Company-years with sector, region of registration and regions of main capacity.
+def company_profile(spark: SparkSession, d: str, first: str, last: str) -> DataFrame:
+    """Company-years with sector and regions of main capacity.
 
     The lines are added up once, per company, year, sector and region; the windows then
     see one company-year each, a few dozen rows.
@@ -101,15 +102,13 @@ def company_profile(
         {"_sector": total("p_type"), "_region": total("buyer_region")}
     )
     strong = F.when(F.col("_region") >= F.col("_all") * CAPACITY_SHARE, F.col("buyer_region"))
-    years = parts.groupBy(*keys).agg(
+    return parts.groupBy(*keys).agg(
         *[F.sum(m).alias(m) for m in ("revenue", "sales_profit", "net_profit")],
         F.min_by(
             "p_type", F.struct((-F.col("_sector")).alias("n"), F.col("p_type").alias("t"))
         ).alias("sector"),
         F.collect_set(strong).alias("cap_regions"),
     )
-    return enrich(years, registrations(spark, d), ["company_id"])
-
 
 def registrations(spark: SparkSession, d: str) -> DataFrame:
     """Region in which each company is registered."""

@@ -1,3 +1,4 @@
+from .schemas import INPUTS
 from .tables import load, materialise, save, shared_folder
 
-__all__ = ["load", "materialise", "save", "shared_folder"]
+__all__ = ["INPUTS", "load", "materialise", "save", "shared_folder"]

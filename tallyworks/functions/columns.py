@@ -46,9 +46,9 @@ def bin_index(value: Column, low: Column, high: Column, bins: int) -> Column:
 
     A range of no width has everything in bin 0.
     """
-    position = F.floor(F.try_divide((value - low) * bins, high - low))
+    position = F.coalesce(F.floor(F.try_divide((value - low) * bins, high - low)), F.lit(0))
     clamped = F.greatest(F.least(position, F.lit(bins - 1)), F.lit(0))
-    return F.when(value.isNotNull(), F.coalesce(clamped, F.lit(0))).cast("int")
+    return F.when(value.isNotNull(), clamped).cast("int")
 
 
 def day(col: str | Column) -> Column:

@@ -116,6 +116,6 @@ def explode_topics(df: DataFrame, col: str, separator: str | None = None) -> Dat
     """
     topics = F.col(col)
     if separator is not None:
-        topics = F.transform(F.split(col, separator), F.trim)
+        topics = F.transform(F.split(col, separator), lambda t: F.trim(t))
     rows = df.withColumn("topic", F.explode(F.array_distinct(topics))).drop(col)
     return rows.filter(F.col("topic") != "")

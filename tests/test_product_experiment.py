@@ -1,0 +1,191 @@
+"""Delivery metrics and A/B tests against brute force and closed forms."""
+
+import math
+import random
+from datetime import date, datetime, timedelta
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from tallyworks.operators import delivery, experiment
+
+START = datetime(2024, 3, 30, 21)
+
+
+def test_dau_cr_and_sketches(spark, rows):
+    day = lambda n: datetime(2024, 1, n, 12)
+    df = spark.createDataFrame(
+        [(1, day(1), "view"), (1, day(1), "buy"), (2, day(1), "view"), (1, day(2), "view"), (None, day(2), "buy")],
+        "u int, t timestamp_ntz, e string",
+    )
+    assert rows(delivery.dau(df, "u", "t")) == [
+        {"day": date(2024, 1, 1), "dau": 2}, {"day": date(2024, 1, 2), "dau": 1},
+    ]
+    assert rows(delivery.conversion(df, "u", "t", F.col("e") == "buy")) == [
+        {"day": date(2024, 1, 1), "users": 2, "converted": 1, "cr": 0.5},
+        {"day": date(2024, 1, 2), "users": 1, "converted": 0, "cr": 0.0},
+    ]
+    merged = delivery.active_users(delivery.daily_sketches(df, "u", "t"), "month").collect()
+    assert [tuple(r) for r in merged] == [(date(2024, 1, 1), 2)]
+
+
+def test_order_metrics(spark, rows):
+    may = datetime(2021, 5, 31, 23)
+    df = spark.createDataFrame(
+        [(1, 7, 10.0, may, 5, 1.0), (1, 7, 20.0, may, 6, 2.0), (2, 7, 30.0, may, 5, 4.0), (3, 8, 6.0, may, 5, 8.0)],
+        "o int, u int, v double, t timestamp_ntz, r int, m double",
+    )
+    assert rows(delivery.aov(df, "o", "v", "t")) == [
+        {"month": date(2021, 5, 1), "orders": 3, "value": 66.0, "aov": 22.0},
+    ]
+    assert rows(delivery.repeat_purchase_rate(df, "u", "o")) == [
+        {"buyers": 2, "repeat_buyers": 1, "repeat_rate": 0.5},
+    ]
+    assert rows(delivery.restaurant_ltv(df, "r", "m", "u"))[0] == {
+        "r": 5, "ltv": 13.0, "customers": 2, "ltv_per_customer": 6.5,
+    }
+
+
+def test_retention_by_day_and_month(spark):
+    stamp = lambda m, d: datetime(2024, m, d, 8)
+    df = spark.createDataFrame(
+        [(1, stamp(1, 31)), (1, stamp(1, 31)), (1, stamp(2, 29)), (2, stamp(1, 1)), (2, stamp(3, 1))],
+        "u int, t timestamp_ntz",
+    )
+    months = {(r["cohort"], r["age"]): (r["users"], r["retention"]) for r in delivery.retention(df, "u", "t").collect()}
+    first = date(2024, 1, 1)
+    assert months == {(first, 0): (2, 1.0), (first, 1): (1, 0.5), (first, 2): (1, 0.5)}
+    days = {(r["cohort"], r["age"]): r["users"] for r in delivery.retention(df, "u", "t", "day").collect()}
+    assert days == {(date(2024, 1, 31), 0): 1, (date(2024, 1, 31), 29): 1, (first, 0): 1, (first, 60): 1}
+
+
+def brute_sessions(events, gap):
+    found = {}
+    for user in {u for u, _ in events}:
+        stamps = sorted(t for u, t in events if u == user)
+        runs = [[stamps[0]]]
+        for t in stamps[1:]:
+            if t - runs[-1][-1] >= gap:
+                runs.append([])
+            runs[-1].append(t)
+        found.update({(user, i + 1): (r[0], r[-1], len(r)) for i, r in enumerate(runs)})
+    return found
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(
+        st.tuples(st.integers(1, 2), st.integers(0, 40).map(lambda n: n * 20) | st.integers(0, 900)),
+        min_size=1, max_size=60,
+    )
+)
+def test_sessions_equal_brute_force(spark, events):
+    data = [(u, START + timedelta(minutes=m, microseconds=m % 3)) for u, m in events]
+    gap = timedelta(minutes=60)
+    for kind in ("timestamp_ntz", "timestamp"):
+        df = spark.createDataFrame(data, "u int, t timestamp_ntz").withColumn("t", F.col("t").cast(kind))
+        found = experiment.sessions(df, "u", "t", 3600, {"all": F.lit(True)})
+        actual = {
+            (r["u"], r["session_no"]): (r["a"], r["b"], r["actions"])
+            for r in found.selectExpr(
+                "u", "session_no", "cast(started as timestamp_ntz) a", "cast(ended as timestamp_ntz) b", "actions"
+            ).collect()
+        }
+        assert actual == brute_sessions(data, gap)
+
+
+def test_sample_size_closed_form(spark):
+    df = spark.range(1000).selectExpr("id < 300 AS ok")
+    row = experiment.sample_size(df, "ok", 0.03).collect()[0]
+    assert row["baseline"] == 0.3
+    assert row["n_per_group"] == 3763  # 3762.36 rounded up
+
+
+def test_duration_uses_calendar_days(spark):
+    required = spark.createDataFrame([(100,)], "n_per_group bigint")
+    day = lambda n: datetime(2024, 1, n, 12)
+    activity = spark.createDataFrame([(1, day(1)), (2, day(1)), (1, day(4)), (3, day(4))], "u int, t timestamp_ntz")
+    row = experiment.duration(required, activity, "u", "t").collect()[0]
+    assert (row["users"], row["observed_days"], row["n_required"]) == (3, 4, 200)
+    assert row["days"] == math.ceil(200 / 0.75)
+
+
+def session_rows(spark):
+    data = [("a", u, u % 3 == 0) for u in range(30)] + [("b", 100 + u, u % 2 == 0) for u in range(20) for _ in range(2)]
+    return spark.createDataFrame(data, "grp string, u int, ok boolean")
+
+
+def test_two_proportion_z_and_p(spark):
+    row = experiment.two_proportion_z(session_rows(spark), "grp", "ok", "a", "b").collect()[0]
+    p = (10 + 20) / 70
+    z = (0.5 - 1 / 3) / math.sqrt(p * (1 - p) * (1 / 30 + 1 / 40))
+    assert row["z"] == pytest.approx(z)
+    assert row["p_value"] == pytest.approx(math.erfc(z / math.sqrt(2)))
+    assert row["significant"] is False
+    assert (row["n_a"], row["n_b"], row["successes_a"], row["successes_b"]) == (30, 40, 10, 20)
+
+
+def test_two_proportion_z_by_user_is_more_careful(spark):
+    plain = experiment.two_proportion_z(session_rows(spark), "grp", "ok", "a", "b").collect()[0]
+    by_user = experiment.two_proportion_z(session_rows(spark), "grp", "ok", "a", "b", cluster="u").collect()[0]
+    assert by_user["difference"] == plain["difference"]
+    # Each user of b has two equal sessions: the variance of b is p(1-p) / 19.
+    variance = (2 / 9) / 29 + 0.25 / 19
+    assert by_user["z"] == pytest.approx((1 / 6) / math.sqrt(variance))
+
+
+def test_tests_with_an_empty_group_or_no_variance(spark):
+    df = spark.createDataFrame([("a", 1, True), ("a", 2, True)], "grp string, u int, ok boolean")
+    row = experiment.two_proportion_z(df, "grp", "ok", "a", "b").collect()[0]
+    assert row["z"] is None and row["p_value"] is None and row["significant"] is None
+    flat = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 2.0)], "g string, x double")
+    row = experiment.welch(flat, "g", "x", "a", "b").collect()[0]
+    assert row["difference"] == 1.0 and row["t"] is None
+
+
+def test_welch_against_formula(spark):
+    a, b = [1.0, 2.0, 4.0, 9.0], [3.0, 5.0, 10.0]
+    df = spark.createDataFrame([("a", v) for v in a] + [("b", v) for v in b] + [("a", None), ("c", 9.0)], "g string, x double")
+    row = experiment.welch(df, "g", "x", "a", "b").collect()[0]
+    var = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v) / (len(v) - 1)
+    ea, eb = var(a) / 4, var(b) / 3
+    assert row["t"] == pytest.approx((6 - 4) / math.sqrt(ea + eb))
+    assert row["df"] == pytest.approx((ea + eb) ** 2 / (ea ** 2 / 3 + eb ** 2 / 2))
+
+
+def test_sessions_per_user(spark):
+    row = experiment.sessions_per_user(session_rows(spark), "grp", "u", "a", "b").collect()[0]
+    assert (row["mean_a"], row["mean_b"], row["n_a"], row["n_b"]) == (1.0, 2.0, 30, 20)
+
+
+@pytest.mark.parametrize("values", [5, 5000])
+def test_mann_whitney_equals_brute_force(spark, values):
+    rng = random.Random(values)
+    a = [rng.randrange(values) for _ in range(300)]
+    b = [rng.randrange(values) + values // 10 for _ in range(200)]
+    data = [("a", float(v)) for v in a] + [("b", float(v)) for v in b] + [("a", None), ("c", 1.0)]
+    row = experiment.mann_whitney(spark.createDataFrame(data, "g string, x double"), "g", "x", "a", "b").collect()[0]
+    u = sum((x > y) + (x == y) / 2 for x in a for y in b)
+    n = 500
+    ties = sum(c ** 3 - c for c in ((a + b).count(v) for v in set(a + b)))
+    z = (u - 300 * 200 / 2) / math.sqrt(300 * 200 / 12 * (n + 1 - ties / (n * (n - 1))))
+    assert row["u"] == u
+    assert row["z"] == pytest.approx(z)
+    assert row["p_value"] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
+
+
+def test_group_checks(spark, rows):
+    df = spark.createDataFrame(
+        [("a", 1, True, 1, 2), ("a", 1, False, 0, 3), ("b", 1, True, 0, 4), ("b", 2, True, 1, 5), ("b", 3, False, 0, 6)],
+        "g string, u int, ok boolean, reg int, views int",
+    )
+    assert rows(experiment.group_counts(df, "g", "u", "reg", "views"))[1] == {
+        "g": "b", "users": 3, "sessions": 3, "registrations": 1, "page_views": 15,
+    }
+    assert rows(experiment.success_share(df, "g", "ok"))[0] == {"g": "a", "sessions": 2, "successes": 1, "share": 0.5}
+    assert rows(experiment.overlap(df, "g", "u")) == [{"users": 3, "in_several_groups": 1, "share": 1 / 3}]
+    assert sorted(r["u"] for r in experiment.exclusive(df, "g", "u").collect()) == [2, 3]
+    split = experiment.srm(df, "g", "u", "a", "b").collect()[0]
+    assert (split["users_a"], split["users_b"], split["chi2"]) == (1, 3, 1.0)
+    assert split["p_value"] == pytest.approx(math.erfc(math.sqrt(0.5)))

@@ -6,7 +6,7 @@ values first (combined on the map side) and spread the distinct values of every
 over buckets of the value range, so that no task holds a whole group.
 
 Bucket edges come from the distinct values with the smallest hashes: a uniform sample of
-fixed size that is the same on every evaluation, so a recomputed task agrees with the
+bounded size that is the same on every evaluation, so a recomputed task agrees with the
 rest. Group keys are compared null-safely, which keeps null groups and also stops the
 optimiser from adding filters that would make the shared shuffle differ by branch.
 """
@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..sources import materialise
 
 # Samples per bucket edge, which evens out bucket sizes.
-OVERSAMPLING = 16
-# Rows of a group table that may be broadcast; also the bound on the heavy groups.
+OVERSAMPLING = 8
+# Rows of a group table that may be broadcast. A heavy group is one with more than this
+# fraction of all rows, so there are never more heavy groups than this.
 BROADCAST_ROWS = 10_000
 
 
@@ -56,15 +57,16 @@ def attach(df: DataFrame, groups: DataFrame, on: list[str], weight: str) -> Data
     """Join a table of group statistics to the rows of those groups (inner, null-safe).
 
     ``groups`` is written once and counted. Up to ``BROADCAST_ROWS`` rows it is
-    broadcast. Beyond, the heaviest groups by ``weight`` (their row count) are broadcast
-    and only rows of the others are shuffled, each of which is then a small part of all
-    rows. ``weight`` itself is not added.
+    broadcast. Beyond, only the groups that hold at least one in ``BROADCAST_ROWS`` of
+    the rows are, of which there cannot be more than that, and the rows of the others are
+    shuffled. ``weight`` names the row count of each group; it is not added.
     """
     groups = materialise(groups)
     added = groups.drop(weight)
     if groups.count() <= BROADCAST_ROWS:
         return join_on(df, F.broadcast(added), on)
-    heavy = groups.orderBy(F.col(weight).desc(), *on).limit(BROADCAST_ROWS).drop(weight)
+    total = groups.agg(F.sum(weight)).scalar()
+    heavy = groups.filter(F.col(weight) * BROADCAST_ROWS >= total).drop(weight)
     light_rows = join_on(df, F.broadcast(heavy.select(*on)), on, "left_anti")
     return join_on(df, F.broadcast(heavy), on).unionByName(join_on(light_rows, added, on))
 
@@ -77,9 +79,15 @@ def with_bucket(freq: DataFrame, value: str, buckets: int) -> DataFrame:
     """
     width = math.isqrt(buckets - 1) + 1
     step = OVERSAMPLING
+    # Every column is hashed so that these branches read the same shuffle as the others.
+    hashed = freq.withColumn("_h", F.xxhash64(*freq.columns))
+    rows = hashed.agg(F.count_if(F.col("_h") != 0)).scalar()
+    # Hashes below this line belong to about twice the rows the sample takes, so the
+    # sorted candidates stay few however many tasks send them.
+    near = (F.col("_h") / F.lit(2.0**64) + 0.5) * rows < 2 * buckets * step
     edges = (
-        # Every column is hashed so that this branch reads the same shuffle as the others.
-        freq.orderBy(F.xxhash64(*freq.columns), value)
+        hashed.filter(near)
+        .orderBy("_h", value)
         .limit(buckets * step)
         .agg(F.expr(f"filter(array_sort(collect_list({value})), (x, i) -> i % {step} = {step - 1})").alias("fine"))
         .selectExpr(f"struct(fine, filter(fine, (x, i) -> i % {width} = {width - 1}) AS coarse)")

@@ -13,7 +13,6 @@ optimiser from adding filters that would make the shared shuffle differ by branc
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -72,49 +71,61 @@ def attach(df: DataFrame, groups: DataFrame, on: list[str], weight: str) -> Data
 
 
 def with_bucket(freq: DataFrame, value: str, buckets: int) -> DataFrame:
-    """Add ``_bucket``, which grows with ``value`` and is the same for equal values.
-
-    The edges are searched in two steps, among every ``width``-th and then between two
-    of those, so a row costs some ``2 * width`` comparisons instead of ``buckets``.
-    """
-    width = math.isqrt(buckets - 1) + 1
+    """Add ``_bucket``, which grows with ``value`` and is the same for equal values."""
     step = OVERSAMPLING
-    # Every column is hashed so that these branches read the same shuffle as the others.
-    hashed = freq.withColumn("_h", F.xxhash64(*freq.columns))
-    rows = hashed.agg(F.count_if(F.col("_h") != 0)).scalar()
-    # Hashes below this line belong to about twice the rows the sample takes, so the
-    # sorted candidates stay few however many tasks send them.
-    near = (F.col("_h") / F.lit(2.0**64) + 0.5) * rows < 2 * buckets * step
-    edges = (
-        hashed.filter(near)
-        .orderBy("_h", value)
-        .limit(buckets * step)
-        .agg(F.expr(f"filter(array_sort(collect_list({value})), (x, i) -> i % {step} = {step - 1})").alias("fine"))
-        .selectExpr(f"struct(fine, filter(fine, (x, i) -> i % {width} = {width - 1}) AS coarse)")
+    # Rows fall into classes by hash and each class gives its row of least hash. All
+    # columns are hashed, so that this branch reads the same shuffle as the result.
+    sample = (
+        freq.select(value, F.xxhash64(*freq.columns).alias("_h"))
+        .groupBy(F.pmod("_h", F.lit(buckets * step)))
+        .agg(F.min_by(value, "_h").alias(value))
+    )
+    edges = sample.agg(
+        F.expr(f"filter(array_sort(collect_list({value})), (x, i) -> i % {step} = {step - 1})")
     )
-    skip = f"{width} * size(filter(_e.coarse, x -> x < {value}))"
-    rest = f"size(filter(slice(_e.fine, _skip + 1, {width}), x -> x < {value}))"
-    return (
-        freq.select("*", edges.scalar().alias("_e"))
-        .selectExpr("*", f"{skip} AS _skip")
-        .selectExpr(*freq.columns, f"_skip + {rest} AS _bucket")
+    # Binary search for the number of edges below the value; past the end is no edge.
+    halves = ", ".join(str(2**i) for i in reversed(range(buckets.bit_length())))
+    below = f"aggregate(array({halves}), 0, (p, s) -> if(get(_e, p + s - 1) < {value}, p + s, p))"
+    return freq.select("*", edges.scalar().alias("_e")).selectExpr(
+        *freq.columns, f"{below} AS _bucket"
     )
 
 
-def bucket_offsets(bucketed: DataFrame, by: list[str], weight: str) -> DataFrame:
-    """Per group and bucket: ``_before`` = weight in lower buckets, ``_size`` = in the group."""
-    totals = bucketed.groupBy(*by, "_bucket").agg(F.sum(weight).alias("_t"))
+def by_bucket(freq: DataFrame, by: list[str], value: str, weight: str) -> tuple[DataFrame, DataFrame]:
+    """Rows spread by group and bucket, and the place of each bucket in its group.
+
+    Both come from one shuffle by ``_key``, a group's keys and the bucket in a struct: it
+    is never null itself, so groups with null keys join like others. The second table has
+    one row per group and bucket with ``_before``, the weight in lower buckets, ``_here``,
+    its own, and ``_size``, that of the whole group.
+    """
+    spread = (
+        with_bucket(freq, value, bucket_count(freq))
+        .select(F.struct(*by, "_bucket").alias("_key"), value, weight)
+        .repartition("_key")
+    )
+    totals = (
+        spread.groupBy("_key")
+        # The mark keeps the value in this branch, so that the shuffle is the same.
+        .agg(F.sum(weight).alias("_here"), F.bit_xor(F.xxhash64(value)).alias("_mark"))
+        .filter(F.col("_mark").isNotNull())
+    )
     # At most one row per bucket in each window partition.
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return totals.select(
-        *by,
-        "_bucket",
-        (F.sum("_t").over(group.orderBy("_bucket")) - F.col("_t")).alias("_before"),
-        F.sum("_t").over(group).alias("_size"),
-        "_t",
+    group = Window.partitionBy(*[F.col(f"_key.{k}") for k in by] or [F.lit(0)])
+    return spread, totals.select(
+        "_key",
+        (F.sum("_here").over(group.orderBy("_key._bucket")) - F.col("_here")).alias("_before"),
+        F.sum("_here").over(group).alias("_size"),
+        "_here",
     )
 
 
+def running_weight(value: str, weight: str) -> Column:
+    """Weight of the values up to this one inside its bucket."""
+    window = Window.partitionBy("_key").orderBy(F.col(value).asc_nulls_first())
+    return F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
 def quantiles(
     df: DataFrame,
     by: list[str],
@@ -152,27 +163,26 @@ def quantiles(
         long = long.select(*by, "_x._col", "_x._v", "_w")
     keys = [*by, "_col"]
     freq = long.filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.sum("_w").alias("_n"))
-    bucketed = with_bucket(freq, "_v", bucket_count(df))
+    spread, places = by_bucket(freq, keys, "_v", "_n")
 
     # 0-based ranks of the two neighbours each quantile lies between.
     low = {s: F.floor((F.col("_size") - 1) * p) for s, p in probs.items()}
     high = {s: F.ceil((F.col("_size") - 1) * p) for s, p in probs.items()}
     ranks = [*low.values(), *high.values()]
     holds = lambda rank, first, behind: (rank >= first) & (rank < behind)
-    wanted = bucket_offsets(bucketed, keys, "_n").filter(
+    wanted = places.filter(
         reduce(
             lambda a, b: a | b,
-            [holds(r, F.col("_before"), F.col("_before") + F.col("_t")) for r in ranks],
+            [holds(r, F.col("_before"), F.col("_before") + F.col("_here")) for r in ranks],
         )
     )
     # Only buckets that hold a wanted rank are sorted.
-    running = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rows = join_on(bucketed, wanted.drop("_t"), [*keys, "_bucket"]).withColumn(
-        "_behind", F.col("_before") + F.sum("_n").over(running)
+    rows = spread.join(wanted, "_key").select(
+        *[F.col(f"_key.{k}").alias(k) for k in keys],
+        "_v",
+        "_n",
+        "_size",
+        (F.col("_before") + running_weight("_v", "_n")).alias("_behind"),
     )
     first = F.col("_behind") - F.col("_n")
     pick = lambda name, rank: F.max(
@@ -220,17 +230,12 @@ def rank_rows(
     by = by or []
     rows = materialise(df)
     freq = rows.groupBy(*by, measure).agg(F.count("*").alias("_n"))
-    bucketed = with_bucket(freq, measure, bucket_count(df))
-    running = (
-        Window.partitionBy(*by, "_bucket")
-        .orderBy(F.col(measure).asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    offsets = bucket_offsets(bucketed, by, "_n").drop("_t")
-    ranks = join_on(bucketed, offsets, [*by, "_bucket"]).select(
-        *by,
+    spread, places = by_bucket(freq, by, measure, "_n")
+    upto = F.col("_before") + running_weight(measure, "_n")
+    ranks = spread.join(places, "_key").select(
+        *[F.col(f"_key.{k}").alias(k) for k in by],
         measure,
-        (F.col("_size") - F.col("_before") - F.sum("_n").over(running) + 1).alias(name),
+        (F.col("_size") - upto + 1).alias(name),
         "_n",
     )
     return attach(rows, ranks, [*by, measure], "_n")

@@ -17,6 +17,7 @@ REGION = "EUROPE"
 THRESHOLD = 4_000_000
 CAPACITY_SHARE = Decimal("0.25")
 SESSION_GAP = 6 * 3600
+MEASURES = ("revenue", "cost", "tax")
 
 
 def places(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +60,7 @@ def sales(
 
 
 def company_lines(lines: DataFrame) -> DataFrame:
-    """Revenue and profits of each line; the seller is the company, the part type its sector."""
+    """Revenue, cost and tax of each line; the seller is the company, the part type its sector."""
     revenue = money("l_extendedprice") * (1 - money("l_discount", "decimal(4,2)"))
     # Products of up to 18 digits, which Spark keeps in a long.
     cost = 2 * money("l_quantity", "decimal(6,2)") * money("p_retailprice", "decimal(9,2)")
@@ -69,20 +70,26 @@ def company_lines(lines: DataFrame) -> DataFrame:
         F.col("l_suppkey").alias("company_id"),
         F.year("o_orderdate").alias("year"),
         revenue.alias("revenue"),
-        (revenue - cost).alias("sales_profit"),
-        (revenue * (1 - tax) - cost).alias("net_profit"),
+        cost.alias("cost"),
+        (revenue * tax).alias("tax"),
     )
 
 
+def with_profits(sums: DataFrame) -> DataFrame:
+    """Profits from summed revenue, cost and tax: exact in decimals, and once per company."""
+    profit = F.col("revenue") - F.col("cost")
+    return sums.withColumns(
+        {"sales_profit": profit, "net_profit": profit - F.col("tax")}
+    ).drop("cost", "tax")
+
+
 def company_year(
     spark: SparkSession, d: str, first: str | None = None, last: str | None = None
 ) -> DataFrame:
     """Revenue and profits per company and year."""
-    return (
-        company_lines(sales(spark, d, first, last))
-        .groupBy("company_id", "year")
-        .agg(*[F.sum(m).alias(m) for m in ("revenue", "sales_profit", "net_profit")])
-    )
+    lines = company_lines(sales(spark, d, first, last))
+    sums = lines.groupBy("company_id", "year").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    return with_profits(sums)
 
 
 def company_profile(spark: SparkSession, d: str, first: str, last: str) -> DataFrame:
@@ -95,20 +102,21 @@ def company_profile(spark: SparkSession, d: str, first: str, last: str) -> DataF
     cells = (
         company_lines(sales(spark, d, first, last, buyers=True))
         .groupBy(*keys, "p_type", "buyer_region")
-        .agg(*[F.sum(m).alias(m) for m in ("revenue", "sales_profit", "net_profit")])
+        .agg(*[F.sum(m).alias(m) for m in MEASURES])
     )
     total = lambda *also: F.sum("revenue").over(Window.partitionBy(*keys, *also))
     parts = cells.withColumn("_all", total()).withColumns(
         {"_sector": total("p_type"), "_region": total("buyer_region")}
     )
     strong = F.when(F.col("_region") >= F.col("_all") * CAPACITY_SHARE, F.col("buyer_region"))
-    return parts.groupBy(*keys).agg(
-        *[F.sum(m).alias(m) for m in ("revenue", "sales_profit", "net_profit")],
+    years = parts.groupBy(*keys).agg(
+        *[F.sum(m).alias(m) for m in MEASURES],
         F.min_by(
             "p_type", F.struct((-F.col("_sector")).alias("n"), F.col("p_type").alias("t"))
         ).alias("sector"),
         F.collect_set(strong).alias("cap_regions"),
     )
+    return with_profits(years)
 
 def registrations(spark: SparkSession, d: str) -> DataFrame:
     """Region in which each company is registered."""

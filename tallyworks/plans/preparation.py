@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import tier
 from ..operators.prepare import dedupe, derive, failed_casts, fill_missing, iqr_fence, normalise
-from ..operators.scope import in_period
+from ..operators.scope import enrich, in_period, in_place
 from .tables import plain, table
 
+# Nine of the 25 nations serve as districts.
+DISTRICTS = [f"NATION_{i}" for i in range(9)]
+
 
 def prep_dedupe(spark, d):
     lineitem = table(spark, d, "lineitem")
@@ -69,6 +72,12 @@ def period_filter(spark, d):
     return plain(in_period(table(spark, d, "orders"), "o_orderdate", "1997-05-01", "1997-06-30"))
 
 
+def place_filter(spark, d):
+    nations = table(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    placed = enrich(table(spark, d, "customer"), nations, ["c_nationkey"])
+    return plain(in_place(placed, "n_name", DISTRICTS).select("c_custkey", "n_name"))
+
+
 QUERIES = {
     "prep_dedupe": prep_dedupe,
     "prep_fill_median": prep_fill_median,
@@ -77,6 +86,7 @@ QUERIES = {
     "prep_iqr_flag": prep_iqr_flag,
     "prep_derive": prep_derive,
     "period_filter": period_filter,
+    "place_filter": place_filter,
 }
 
 _NAMES = """
@@ -126,6 +136,9 @@ SELECT o_orderkey, o_totalprice, month(o_orderdate)::BIGINT AS month,
        CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice < 300000 THEN 'middle'
             ELSE 'high' END AS price_tier
 FROM orders""",
+    "place_filter": """
+SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+WHERE n_nationkey < 9""",
     "period_filter": """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
        strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority

@@ -78,18 +78,23 @@ def sessions(
 
 
 def sample_size(
-    df: DataFrame, success: str, mde: float, alpha: float = 0.05, power: float = 0.8
+    df: DataFrame,
+    success: str,
+    mde: float,
+    alpha: float = 0.05,
+    power: float = 0.8,
+    pooled: bool = True,
 ) -> DataFrame:
     """Units per group needed to see the baseline share rise by ``mde`` (absolute).
 
-    The baseline is the share of successes in ``df``. Two-sided two-proportion test with
-    pooled variance under the null hypothesis.
+    The baseline is the share of successes in ``df``. Two-sided two-proportion test;
+    under the null hypothesis the variance is pooled, or else that of the alternative.
     """
     z_alpha, z_power = critical_value(alpha), NormalDist().inv_cdf(power)
     p1, p2 = F.col("baseline"), F.col("target")
     mid = (p1 + p2) / 2
-    null = F.sqrt(2 * mid * (1 - mid))
     alternative = F.sqrt(p1 * (1 - p1) + p2 * (1 - p2))
+    null = F.sqrt(2 * mid * (1 - mid)) if pooled else alternative
     needed = F.pow((z_alpha * null + z_power * alternative) / mde, 2)
     return (
         df.agg(ratio(F.count_if(success), F.count(success)).alias("baseline"))

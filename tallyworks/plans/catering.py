@@ -9,37 +9,43 @@ from ..operators.catering import (
     relation,
     structure,
 )
-from .inputs import establishments
+from ..sources import materialise
+from .inputs import establishments, with_checks
 from .tables import plain
 
 
+def _written(spark, d):
+    # Read by several branches, so the orders are joined once and not for each.
+    return materialise(with_checks(spark, d))
+
+
 def catering_structure(spark, d):
     return plain(structure(establishments(spark, d), ["niche", "district"]))
 
 
 def catering_check(spark, d):
     return plain(
-        check_and_rating(establishments(spark, d), ["niche", "district"], "avg_check", "rating"),
+        check_and_rating(_written(spark, d), ["niche", "district"], "avg_check", "rating"),
         {"median_check": 6},
     )
 
 
 def catering_relation(spark, d):
     return plain(
-        relation(establishments(spark, d), "avg_check", "rating", ["niche"]),
+        relation(with_checks(spark, d), "avg_check", "rating", ["niche"]),
         {"corr": 6, "slope": 9, "r2": 6},
     )
 
 
 def catering_rating_by_check(spark, d):
     return plain(
-        rating_by_check(establishments(spark, d), "avg_check", "rating", 0.0, 500_000.0, 20)
+        rating_by_check(with_checks(spark, d), "avg_check", "rating", 0.0, 500_000.0, 20)
     )
 
 
 def catering_niches(spark, d):
     return plain(
-        rank_niches(establishments(spark, d), "niche", "avg_check", "rating"), {"median_check": 6}
+        rank_niches(_written(spark, d), "niche", "avg_check", "rating"), {"median_check": 6}
     )
 
 

@@ -14,6 +14,7 @@ from .inputs import (
     company_lines,
     company_profile,
     company_year,
+    largest,
     registrations,
     sales,
 )
@@ -58,7 +59,14 @@ def rating_growth(spark, d):
 
 
 def rating_leaders(spark, d):
-    rated = company_profile(spark, d, *YEAR).select("company_id", "sector", "revenue")
+    parts = (
+        company_lines(sales(spark, d, *YEAR))
+        .groupBy("company_id", "p_type")
+        .agg(F.sum("revenue").alias("revenue"))
+    )
+    rated = parts.groupBy("company_id").agg(
+        F.sum("revenue").alias("revenue"), largest("p_type", "revenue").alias("sector")
+    )
     return plain(leaders(rated, "sector", "revenue"))
 
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import ratio
 from ..operators.experiment import sessions as to_sessions
-from ..operators.scope import in_period
-from ..sources import materialise
+from ..operators.scope import enrich, in_period
 from .tables import money, table
 
 RATING_YEAR = 2000
@@ -92,6 +91,11 @@ def company_year(
     return with_profits(sums)
 
 
+def largest(name: str, amount: str) -> Column:
+    """Name with the largest amount in a group; of tied names the first."""
+    return F.min_by(name, F.struct((-F.col(amount)).alias("amount"), F.col(name).alias("name")))
+
+
 def company_profile(spark: SparkSession, d: str, first: str, last: str) -> DataFrame:
     """Company-years with sector and regions of main capacity.
 
@@ -111,9 +115,7 @@ def company_profile(spark: SparkSession, d: str, first: str, last: str) -> DataF
     strong = F.when(F.col("_region") >= F.col("_all") * CAPACITY_SHARE, F.col("buyer_region"))
     years = parts.groupBy(*keys).agg(
         *[F.sum(m).alias(m) for m in MEASURES],
-        F.min_by(
-            "p_type", F.struct((-F.col("_sector")).alias("n"), F.col("p_type").alias("t"))
-        ).alias("sector"),
+        largest("p_type", "_sector").alias("sector"),
         F.collect_set(strong).alias("cap_regions"),
     )
     return with_profits(years)
@@ -170,27 +172,25 @@ def conferences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def establishments(spark: SparkSession, d: str) -> DataFrame:
-    """One row per establishment; its check is the mean order, null without orders.
-
-    Written once, since the analyses below read it several times.
-    """
+    """One row per establishment with niche, district and rating."""
     customer, homes = table(spark, d, "customer"), places(spark, d)
+    return customer.join(homes, customer.c_nationkey == homes.n_nationkey).select(
+        F.col("c_custkey").alias("place_id"),
+        F.col("c_mktsegment").alias("niche"),
+        F.col("n_name").alias("district"),
+        money("c_acctbal").alias("rating"),
+    )
+
+
+def with_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Establishments with their average check, the mean order; null without orders."""
     checks = (
         table(spark, d, "orders")
-        .select(F.col("o_custkey").alias("c_custkey"), money("o_totalprice").alias("price"))
-        .groupBy("c_custkey")
+        .select(F.col("o_custkey").alias("place_id"), money("o_totalprice").alias("price"))
+        .groupBy("place_id")
         .agg(ratio(F.sum("price"), F.count("price")).alias("avg_check"))
     )
-    return materialise(
-        customer.join(homes, customer.c_nationkey == homes.n_nationkey)
-        .join(checks, "c_custkey", "left")
-        .select(
-            F.col("c_mktsegment").alias("niche"),
-            F.col("n_name").alias("district"),
-            "avg_check",
-            money("c_acctbal").alias("rating"),
-        )
-    )
+    return enrich(establishments(spark, d), checks, ["place_id"])
 
 
 def deliveries(spark: SparkSession, d: str) -> DataFrame:

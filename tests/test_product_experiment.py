@@ -100,6 +100,8 @@ def test_sample_size_closed_form(spark):
     row = experiment.sample_size(df, "ok", 0.03).collect()[0]
     assert row["baseline"] == 0.3
     assert row["n_per_group"] == 3763  # 3762.36 rounded up
+    unpooled = experiment.sample_size(df, "ok", 0.03, pooled=False).collect()[0]
+    assert unpooled["n_per_group"] == 3760  # 3759.61 rounded up
 
 
 def test_duration_uses_calendar_days(spark):

@@ -36,17 +36,15 @@ def histogram(
 def boxplot(df: DataFrame, x: str, by: list[str], k: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (furthest values within ``k`` interquartile ranges), outliers.
 
-    Works on counts of equal values, which are far fewer rows than the data.
+    Whiskers are searched among counts of equal values, added up on the map side.
     """
     value = F.col(x).cast("double")
+    quartiles = quantiles(df, by, {"q": x}, {"1": 0.25, "2": 0.5, "3": 0.75})
     freq = (
         df.filter(value.isNotNull())
         .groupBy(*by, value.alias("_x"))
         .agg(F.count("*").alias("_n"))
     )
-    quartiles = quantiles(
-        freq, by, {"q": "_x"}, {"1": 0.25, "2": 0.5, "3": 0.75}, weight="_n"
-    )
     spread = k * (F.col("q3") - F.col("q1"))
     fences = quartiles.withColumns({"_low": F.col("q1") - spread, "_high": F.col("q3") + spread})
     if by:

@@ -132,20 +132,16 @@ def quantiles(
     columns: dict[str, Column | str],
     probs: dict[str, float] | None = None,
     exact: bool = True,
-    weight: str | None = None,
 ) -> DataFrame:
     """Quantiles of several columns per group, linearly interpolated, nulls ignored.
 
     Result columns are ``<name><suffix>`` for each ``columns`` name and ``probs`` suffix;
     the default is the median under the plain name. Groups without any value are absent.
-    ``weight`` names a column with the number of times a row counts.
     ``exact=False`` uses bounded-size sketches in one shuffle (returns existing values).
     """
     probs = probs or {"": 0.5}
     cols = {n: (F.col(c) if isinstance(c, str) else c).cast("double") for n, c in columns.items()}
     if not exact:
-        if weight:
-            raise ValueError("sketches take unweighted rows")
         return df.groupBy(*by).agg(
             *[
                 F.percentile_approx(c, p, 10_000).alias(n + s)
@@ -153,16 +149,14 @@ def quantiles(
                 for s, p in probs.items()
             ]
         )
-    times = F.col(weight) if weight else F.lit(1).cast("bigint")
     if len(cols) == 1:
         (name, col), = cols.items()
-        long = df.select(*by, F.lit(name).alias("_col"), col.alias("_v"), times.alias("_w"))
+        long = df.select(*by, F.lit(name).alias("_col"), col.alias("_v"))
     else:
         entries = [F.struct(F.lit(n).alias("_col"), c.alias("_v")) for n, c in cols.items()]
-        long = df.select(*by, times.alias("_w"), F.explode(F.array(*entries)).alias("_x"))
-        long = long.select(*by, "_x._col", "_x._v", "_w")
+        long = df.select(*by, F.explode(F.array(*entries)).alias("_x")).select(*by, "_x.*")
     keys = [*by, "_col"]
-    freq = long.filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.sum("_w").alias("_n"))
+    freq = long.filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
     spread, places = by_bucket(freq, keys, "_v", "_n")
 
     # 0-based ranks of the two neighbours each quantile lies between.
@@ -198,7 +192,8 @@ def quantiles(
                 F.max(F.when(F.col("_col") == name, share(s, p))).alias(f"_at_{name}{s}"),
             ]
     names = [n + s for n in cols for s in probs]
-    between = lambda n: (
+    # A quantile on a value is that value, also when the next one is infinite.
+    between = lambda n: F.when(F.col(f"_at_{n}") == 0, F.col(f"_lo_{n}")).otherwise(
         F.col(f"_lo_{n}") * (1 - F.col(f"_at_{n}")) + F.col(f"_hi_{n}") * F.col(f"_at_{n}")
     )
     return rows.groupBy(*by).agg(*aggs).select(*by, *[between(n).alias(n) for n in names])

@@ -45,10 +45,10 @@ def test_quantiles_of_whole_table_and_many_distinct_values(spark):
     assert found["x_p99"] == pytest.approx(np.quantile(values, 0.99))
 
 
-def test_quantiles_weighted_equal_repeated_rows(spark):
-    df = spark.createDataFrame([(1.0, 3), (2.0, 1), (9.0, 2)], "x double, n bigint")
-    found = dist.quantiles(df, [], {"x": "x"}, weight="n").collect()[0]
-    assert found["x"] == np.median([1, 1, 1, 2, 9, 9])
+def test_quantiles_beside_infinite_values(spark):
+    df = spark.createDataFrame([(float("-inf"),), (1.0,), (float("inf"),)], "x double")
+    found = dist.quantiles(df, [], {"x": "x"}, {"": 0.5, "_max": 1.0}).collect()[0]
+    assert (found["x"], found["x_max"]) == (1.0, float("inf"))
 
 
 def test_quantiles_without_values(spark):

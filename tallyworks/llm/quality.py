@@ -87,37 +87,36 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def add_features(docs: DataFrame) -> DataFrame:
-    """Add a struct ``_f`` of counts; a null text counts as empty."""
+def features() -> Column:
+    """A struct of counts; a null text counts as empty."""
     text = text_of()
-    counted = docs.withColumn(
-        "_f",
-        F.struct(
-            let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeat"))).alias("w"),
-            F.length(F.translate(text, GAP_CHARS, "")).cast("long").alias("word_chars"),
-            count_of(text, SYMBOLS).alias("n_symbols"),
-            repeated_lines(text).alias("n_dup_lines"),
-            count_of(text, "!").alias("bangs"),
-            F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("upper"),
-        ),
+    return F.struct(
+        let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeat"))).alias("w"),
+        F.length(F.translate(text, GAP_CHARS, "")).cast("long").alias("word_chars"),
+        count_of(text, SYMBOLS).alias("n_symbols"),
+        repeated_lines(text).alias("n_dup_lines"),
+        count_of(text, "!").alias("bangs"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("upper"),
     )
-    return counted
 
 
-def rules() -> dict[str, Column]:
-    """Features between 0 and about 1, higher is worse."""
-    f = F.col("_f")
+RULES = ("symbols", "bangs", "capitals", "repeats", "lines")
+
+
+def values(f: Column) -> Column:
+    """What each rule judges, between 0 and about 1, higher is worse; a map by rule."""
 
     def share(n: Column, of: Column) -> Column:
         return F.when(of > 0, n / of).otherwise(F.lit(0.0))
 
-    return {
-        "symbols": share(f["n_symbols"], f["word_chars"]),
-        "bangs": share(f["bangs"], f["w"]["n"]),
-        "capitals": share(f["upper"], f["word_chars"]),
-        "repeats": share(f["w"]["repeat"], f["w"]["n"]),
-        "lines": share(f["n_dup_lines"] * F.lit(10), f["w"]["n"]),
-    }
+    judged = (
+        share(f["n_symbols"], f["word_chars"]),
+        share(f["bangs"], f["w"]["n"]),
+        share(f["upper"], f["word_chars"]),
+        share(f["w"]["repeat"], f["w"]["n"]),
+        share(f["n_dup_lines"] * F.lit(10), f["w"]["n"]),
+    )
+    return F.create_map(*[x for k, v in zip(RULES, judged) for x in (F.lit(k), v)])
 
 
 def log_binomial_below(n: Column, k: Column, rate: float) -> Column:
@@ -142,7 +141,7 @@ def thresholds(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: f
     value). Rows are counted by rule and place among the cutoffs before anything is
     shuffled, so a stratum of any size comes to one row per rule and cutoff.
     """
-    names = list(rules())
+    names = RULES
     each = alpha / len(names)
     place = F.size(F.filter(F.array(*[F.lit(c) for c in CUTOFFS]), lambda c: F.col("_value") <= c))
     counts = (
@@ -194,25 +193,22 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
     return verdicts(docs, labels, stratum).drop("_f", "text")
 
 
-def values() -> Column:
-    return F.create_map(*[x for k, v in rules().items() for x in (F.lit(k), v)])
-
-
 def verdicts(docs: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id").agg((F.max("quality") == 1).alias("_good"))
     )
-    own = add_features(docs.select("doc_id", "text", F.col(stratum).alias("_stratum")))
-    labelled = own.select("doc_id", "_stratum", values().alias("_values")).join(known, "doc_id")
-    cuts = materialise(thresholds(labelled, "_stratum"))
-    rows = add_features(docs.withColumn("_stratum", F.col(stratum)))
-    rows = join_on(rows, cuts, ["_stratum"], "left").drop("_stratum")
+    # Bound in one expression, or the counts would be taken once for each use.
+    judged = let(features(), values).alias("_values")
+    labelled = docs.select("doc_id", F.col(stratum).alias("_stratum"), judged).join(known, "doc_id")
+    safe = materialise(thresholds(labelled, "_stratum"))
+    rows = docs.withColumn("_stratum", F.col(stratum)).withColumn("_f", features())
+    rows = join_on(rows, safe, ["_stratum"], "left").drop("_stratum")
     f = F.col("_f")
     n, repeat = f["w"]["n"], f["w"]["repeat"]
     failed = (n < 10) | (repeat * 100 > n * 20)
-    broken = [v > F.coalesce(F.element_at("_cuts", F.lit(k)), F.lit(float("inf"))) for k, v in rules().items()]
-    rejected = F.exists(F.array(*broken), lambda x: x)
+    cuts = F.coalesce("_cuts", F.create_map().cast("map<string,double>"))
+    rejected = F.exists(F.map_entries(cuts), lambda c: F.element_at(values(f), c["key"]) > c["value"])
     return rows.withColumns(
         {
             "n_words": n,

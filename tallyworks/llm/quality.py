@@ -145,7 +145,9 @@ def thresholds(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: f
     each = alpha / len(names)
     place = F.size(F.filter(F.array(*[F.lit(c) for c in CUTOFFS]), lambda c: F.col("_value") <= c))
     counts = (
-        labelled.select(stratum, "_good", F.explode("_values").alias("_rule", "_value"))
+        # The outer form, as the plain one filters on the values before the join and takes
+        # the counts once more for that; the map is never empty.
+        labelled.select(stratum, "_good", F.explode_outer("_values").alias("_rule", "_value"))
         # The first cutoff, in the order of testing, that the value exceeds.
         .withColumn("_at", place)
         .groupBy(stratum, "_rule", "_at")

@@ -260,7 +260,9 @@ def surroundings(several):
                 hit = holds(bits, slot_of(h))
                 h, chosen = h[hit], chosen[hit]
                 w = window_hash(hasher, buffer, chosen)
-                _, first = np.unique(np.stack([h, w]), axis=1, return_index=True) if len(h) else (None, np.zeros(0, int))
+                order = np.lexsort((w, h))
+                h, w, chosen = h[order], w[order], chosen[order]
+                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])))[: len(h)])
                 h, w, chosen = h[first], w[first], chosen[first]
                 rows = buffer[chosen[:, None] + np.arange(-REACH, LENGTH)]
                 raw = pa.FixedSizeBinaryArray.from_buffers(
@@ -295,13 +297,10 @@ def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     own = np.flatnonzero(direct)
     padded = np.zeros((n, width + 64), dtype=np.uint8)
     padded[:, :width] = rows
-    flat, place = padded.ravel(), row[own] * (width + 64) + offset[own]
-    words = []
-    for k in range(-(-LENGTH // 8)):
-        value = np.zeros(len(own), dtype=np.uint64)
-        for b in range(8):
-            value = value << np.uint64(8) | flat[place + 8 * k + b]
-        words.append(value)
+    flat, place = padded.ravel().astype(np.uint64), row[own] * (width + 64) + offset[own]
+    for n_bytes in (1, 2, 4):  # eight bytes from each place on, as one number
+        flat = flat[:-n_bytes] << np.uint64(8 * n_bytes) | flat[n_bytes:]
+    words = [flat[place + 8 * k] for k in range(-(-LENGTH // 8))]
     own = own[np.lexsort(words[::-1])] if len(own) else own
     own_start = np.searchsorted(byte[own], np.arange(257))
     # Stage two: buckets of first bytes from low to high; a suffix larger than its
@@ -420,12 +419,10 @@ def h_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(slot)], names=["slot"])
 
 
-def removed_runs(size: int, found: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of removed bytes."""
-    if not found:
+def removed_runs(size: int, at: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of removed bytes, from the places of anchors and their marks."""
+    if not len(at):
         return []
-    at = np.array([x["at"] for x in found], dtype=np.int64)
-    bits = np.array([x["marks"] for x in found], dtype=np.int64)
     starts = np.concatenate([at[bits >> o & 1 == 1] - REACH + o for o in range(REACH + 1)])
     starts = np.unique(starts[(starts >= 0) & (starts + LENGTH <= size)])
     if not len(starts):
@@ -455,9 +452,13 @@ def strip(docs: DataFrame, sort_size: int = SORTED, hot: int = HOT) -> DataFrame
         pair = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
         for batch in batches:
             sizes, removed, counts, spans, kept = [], [], [], [], []
-            for text, marks_ in zip(batch.column(1), batch.column(2)):
+            found = batch.column(2)
+            bounds = np.concatenate(([0], np.cumsum(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            anchors_, marks_ = found.flatten().flatten()
+            at, bits = anchors_.to_numpy().astype(np.int64), marks_.to_numpy()
+            for i, text in enumerate(batch.column(1)):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                runs = removed_runs(len(data), marks_.as_py())
+                runs = removed_runs(len(data), at[bounds[i] : bounds[i + 1]], bits[bounds[i] : bounds[i + 1]])
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 sizes.append(len(data))
                 removed.append(sum(e - s for s, e in runs))

@@ -59,6 +59,14 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
+def aside(docs: DataFrame, *read: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Columns other than ``read`` under names that nothing else uses, and the way back."""
+    names = docs.columns
+    held = {c: c if c in read else f"_held_{i}_" for i, c in enumerate(names)}
+    back = [F.col(held[c]).alias(c) for c in names]
+    return docs.select(*[F.col(c).alias(held[c]) for c in names]), lambda rows: rows.select(*back)
+
+
 def blocks_of(df: DataFrame, size: Column, per_block: int) -> int:
     """Blocks of about ``per_block`` units that ``df`` fills, by one aggregate."""
     total = df.agg(F.sum(size)).first()[0] or 0

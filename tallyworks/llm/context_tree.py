@@ -159,7 +159,9 @@ def weigh(pair: np.ndarray, n: np.ndarray):
     return node, bit, prediction.reshape(8, -1), (found & 255, zero, one, below)
 
 
-LAST_TWO = F.shiftright("pair", 8).bitwiseAND(F.lit(0xFFFF))
+def last_two() -> Column:
+    """The last two context bytes of a pair."""
+    return F.shiftright("pair", 8).bitwiseAND(F.lit(0xFFFF))
 
 
 def top_rows(table: pa.Table) -> pa.Table:
@@ -260,7 +262,7 @@ def score(docs: DataFrame, train: Column, held_out: Column, block: int = BLOCK)
     counts = materialise(words.groupBy("word").agg(F.sum("n").alias("count")).filter("count > 0"))
     n, v = counts.agg(F.sum("count"), F.count("*")).first()
     pairs = asked.filter("pair is not null")
-    model = materialise(pairs.groupBy("pair").agg(F.sum("n").alias("n"))).withColumn("_two", LAST_TWO)
+    model = materialise(pairs.groupBy("pair").agg(F.sum("n").alias("n"))).withColumn("_two", last_two())
     nodes = model.groupBy("_two").applyInArrow(top_rows, "last int, node int, zero double, one double, below double")
     sums = nodes.groupBy("last", "node").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("below").alias("below"))
     top = top_model(sums.collect())  # at most 256 * 255 rows

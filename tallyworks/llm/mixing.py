@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.distribution import join_on
 
-from .common import WORD, materialise, number_rows, text_of
+from .common import WORD, aside, materialise, number_rows, text_of
 
 SEED = 20
 
@@ -122,8 +122,8 @@ def shares(docs: DataFrame, weights: Sequence[float], budget: float = 1.5, epoch
 
 def mix(docs: DataFrame, weights: Sequence[float], budget: float = 1.5, epochs: float = 2.0) -> DataFrame:
     """The documents of the mix, each as many times as it is taken, columns unchanged."""
-    names = docs.columns
+    named, back = aside(docs, "doc_id", "text", "source")
     planned = plan(size_up(docs), weights, budget, epochs)
-    rows = join_on(docs.withColumn("_draw", draw(SEED)), planned.drop("source_size", "target"), ["source"])
+    rows = join_on(named.withColumn("_draw", draw(SEED)), planned.drop("source_size", "target"), ["source"])
     times = F.explode(F.array_repeat(F.lit(0), copies().cast("int")))
-    return rows.select(*names, times.alias("_time")).drop("_time")
+    return back(rows.withColumn("_time", times))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.distribution import join_on
 
-from .common import let, materialise, text_of
+from .common import aside, let, materialise, text_of
 
 # In the order of ties.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -278,6 +278,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     A text without spans is left as it is, null included.
     """
-    found = find(docs)
+    rows, back = aside(docs, "text")
+    found = find(rows)
     text = F.when(F.size("_all") == 0, F.col("text")).otherwise(masked(text_of(), F.col("_all")))
-    return found.withColumn("text", text).select(*docs.columns)
+    return back(found.withColumn("text", text))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.distribution import join_on
 
-from .common import GAP_CHARS, let, materialise, text_of, words
+from .common import GAP_CHARS, aside, let, materialise, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -186,13 +186,13 @@ def thresholds(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: f
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The columns of ``docs`` but for the text, the base counts, and ``kept``.
+    """``doc_id``, the stratum, the base counts, and ``kept``; other columns are left out.
 
     ``labels`` has doc_id and quality (1 is good); an id labelled more than once is good
     if one label says so, null labels and ids are left out. A null stratum is one of its
     own. Repeated rows are judged alike. An empty table gives an empty table.
     """
-    return verdicts(docs, labels, stratum).drop("_f", "text")
+    return verdicts(docs.select("doc_id", "text", stratum), labels, stratum).drop("_f", "text")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
@@ -226,4 +226,5 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The documents that the rules keep, columns unchanged."""
-    return verdicts(docs, labels, stratum).filter("kept").select(*docs.columns)
+    rows, back = aside(docs, "doc_id", "text", stratum)
+    return back(verdicts(rows, labels, stratum).filter("kept"))

@@ -198,13 +198,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id``, ``node`` (fingerprint, signed), ``component_id`` and ``root`` for every row.
+    """``doc_id``, ``text_hash``, ``node`` (the fingerprint as a signed long), ``component_id``
+    and ``root`` (the least node connected) for every row.
 
     Reads doc_id and text. A null text counts as empty; texts without words share the
     fingerprint zero. ``component_id`` is the least non-null id of the component, null if
     there is none. Repeated rows are kept. An empty table gives an empty table.
     """
-    marked = materialise(add_fingerprint(docs.select("doc_id", "text"), "text", "node", shingle))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    marked = materialise(add_fingerprint(rows, "text", "node", shingle))
     nodes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first")))
     found = components(links(nodes, distance))
     rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -222,14 +224,15 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each component, that of the least id; columns unchanged.
 
-    Of rows with the same least id one stays. A component without any id keeps one row.
+    A row without an id stays only if no row of its component has one. Among different
+    texts under the least id the one of least hash stays, of equal rows one.
     """
     found = cluster(docs, shingle, distance)
-    firsts = found.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # Only components without an id are left: their least fingerprint stands for them.
-    lone = found.filter("component_id is null").groupBy("root").agg(F.min("node").alias("_node")).select("_node")
-    copy, mark = fresh(docs.columns, "_copy"), fresh(docs.columns, "_mark")
-    unnamed = add_fingerprint(docs.filter("doc_id is null").withColumn(copy, F.col("text")), copy, mark, shingle)
-    unnamed = unnamed.join(lone, F.col(mark) == F.col("_node"), "left_semi").dropDuplicates([mark])
-    return rows.select(*docs.columns).unionByName(unnamed.select(*docs.columns))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("_first")
+    best = found.groupBy("root").agg(first).select(
+        F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash")
+    )
+    mark = fresh([*docs.columns, "_id", "_hash"], "_mark")
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+    rows = rows.join(best, (F.col(mark) == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", mark]).drop(mark)

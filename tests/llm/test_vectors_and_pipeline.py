@@ -1,0 +1,75 @@
+"""Nearest neighbours against brute force, and the pipeline on messy rows."""
+
+import numpy as np
+import pytest
+from .conftest import FOLDER
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tallyworks.llm import prefix_forest
+
+
+def brute(rows, k=5):
+    rows = [(i, v) for i, v in rows if i is not None and v and len(v) == 4 and None not in v]
+    rows = [(i, np.array(v, dtype=float)) for i, v in rows if np.isfinite(v).all() and np.any(v)]
+    out = []
+    for q, v in rows:
+        if q % 50 == 0:
+            near = sorted((-round(float(v @ w / np.sqrt((v @ v) * (w @ w))), 9), i) for i, w in rows if i != q)
+            out += [(q, r + 1, i) for r, (_, i) in enumerate(near[:k])]
+    return sorted(out)
+
+
+def test_small_and_odd_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(4).round(3)]) for i in range(120)]
+    rows += [(200 + i, rows[0][1]) for i in range(30)]  # copies, among them queries
+    rows += [(500, None), (550, [0.0] * 4), (600, [1.0, None, 0.0, 0.0]), (650, [float("nan"), 1.0, 1.0, 1.0]), (700, [1.0]), (None, [1.0, 2.0, 3.0, 4.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = prefix_forest.search(table, F.col("id") % 50 == 0, "vec_id", "embedding", trees=4)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()) == brute(rows)
+    none = prefix_forest.search(table.limit(0), F.col("id") % 50 == 0, "vec_id", "embedding", trees=2)
+    assert none.count() == 0
+
+
+def test_recall_with_few_candidates(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((60, 16))
+    rows = [(i, [float(x) for x in centres[i % 60] + 0.1 * rng.standard_normal(16)]) for i in range(3000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = prefix_forest.search(
+        table, F.col("id") % 50 == 0, "vec_id", "embedding", trees=12, enough=1500, block=512, reach=256
+    )
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    exact = []
+    for q in range(0, 3000, 50):
+        s = x @ x[q]
+        s[q] = -2
+        exact += [(q, int(i)) for i in np.argsort(-s)[:5]]
+    assert prefix_forest.recall(found, spark.createDataFrame(exact, "query_id long, vec_id long")) >= 0.9
+
+
+def test_reach_is_bounded(spark):
+    with pytest.raises(ValueError):
+        prefix_forest.search(spark.range(1), F.lit(True), "id", "v", block=10, reach=11)
+
+
+def test_pipeline_stages_on_messy_rows(spark, messy):
+    docs = messy
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.columns
+        docs = stage(spark, docs, FOLDER)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == before
+    assert docs.count() and docs.filter("not round_trip").count() == 0
+
+
+def test_pipeline_on_given_rows(spark, given):
+    found = corpus_pipeline.run(spark, FOLDER)
+    assert {"doc_id", "ids", "n_tokens", "round_trip"} == set(found.columns)
+    ids = {r["doc_id"] for r in found.collect()}
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    assert ids <= {r["doc_id"] for r in given.select("doc_id").collect()}
+    assert found.filter("not round_trip").count() == 0 and labels.count()

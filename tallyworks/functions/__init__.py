@@ -1,3 +1,3 @@
-from .columns import band, bin_index, day, mean, micros, ratio, text_key, tier, two_sided_p
+from .columns import band, bin_index, day, known, mean, micros, ratio, text_key, tier, two_sided_p
 
-__all__ = ["band", "bin_index", "day", "mean", "micros", "ratio", "text_key", "tier", "two_sided_p"]
+__all__ = ["band", "bin_index", "day", "known", "mean", "micros", "ratio", "text_key", "tier", "two_sided_p"]

@@ -14,6 +14,11 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
+def known(value: Column) -> Column:
+    """The value, with NaN read as null: tables written from Python hold NaN for missing."""
+    return F.when(value.cast("double") == float("nan"), F.lit(None)).otherwise(value)
+
+
 def mean(df: DataFrame, col: str) -> Column:
     """Mean of a column. Decimals are summed exactly, so the order of rows is irrelevant."""
     if isinstance(df.schema[col].dataType, DecimalType):
@@ -22,7 +27,11 @@ def mean(df: DataFrame, col: str) -> Column:
 
 
 def tier(value: Column, cuts: list[float], labels: list[str]) -> Column:
-    """Label of the tier a value falls in; a value on a cut belongs to the upper tier."""
+    """Label of the tier a value falls in; a value on a cut belongs to the upper tier.
+
+    NaN counts as null.
+    """
+    value = known(value)
     if len(labels) != len(cuts) + 1 or sorted(cuts) != list(cuts):
         raise ValueError("need ascending cuts and one label more than cuts")
     result = F.when(value.isNull(), F.lit(None))
@@ -44,8 +53,9 @@ def band(value: Column, edges: list[float]) -> Column:
 def bin_index(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bin 0..bins-1. Values outside [low, high) go to the nearest end bin.
 
-    A range of no width has everything in bin 0.
+    A range of no width has everything in bin 0. NaN counts as null and has no bin.
     """
+    value = known(value)
     position = F.coalesce(F.floor(F.try_divide((value - low) * bins, high - low)), F.lit(0))
     clamped = F.greatest(F.least(position, F.lit(bins - 1)), F.lit(0))
     return F.when(value.isNotNull(), clamped).cast("int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import bin_index
+from ..functions import bin_index, known
 from .distribution import attach, combine, quantiles, share_of_total
 
 
@@ -15,7 +15,7 @@ def histogram(
     by = by or []
     position = bin_index(F.col(x), F.lit(low), F.lit(high), bins)
     counts = (
-        df.filter(F.col(x).isNotNull())
+        df.filter(known(F.col(x)).isNotNull())
         .groupBy(*by, position.alias("bin"))
         .agg(F.count("*").alias("n"))
     )
@@ -36,13 +36,13 @@ def histogram(
 def boxplot(df: DataFrame, x: str, by: list[str], k: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (furthest values within ``k`` interquartile ranges), outliers.
 
-    Whiskers are searched among counts of equal values, added up on the map side.
+    Null and NaN are left out. Whiskers are searched among counts of equal values, added up on the map side.
     """
     value = F.col(x).cast("double")
+    df = df.filter(known(value).isNotNull())
     quartiles = quantiles(df, by, {"q": x}, {"1": 0.25, "2": 0.5, "3": 0.75})
     freq = (
-        df.filter(value.isNotNull())
-        .groupBy(*by, value.alias("_x"))
+        df.groupBy(*by, value.alias("_x"))
         .agg(F.count("*").alias("_n"))
     )
     spread = k * (F.col("q3") - F.col("q1"))

@@ -8,14 +8,15 @@ from ..functions import day, ratio
 
 
 def dau(df: DataFrame, user: str, ts: str, exact: bool = True) -> DataFrame:
-    """Distinct users of each day. ``exact=False`` estimates with a sketch."""
+    """Distinct users of each day that has any. ``exact=False`` estimates with a sketch."""
+    df = df.filter(F.col(user).isNotNull())
     users = F.count_distinct(user) if exact else F.hll_sketch_estimate(F.hll_sketch_agg(user))
     return df.groupBy(day(ts).alias("day")).agg(users.alias("dau"))
 
 
 def daily_sketches(df: DataFrame, user: str, ts: str) -> DataFrame:
     """A sketch of each day's users, to be stored and merged by ``active_users``."""
-    return df.groupBy(day(ts).alias("day")).agg(F.hll_sketch_agg(user).alias("sketch"))
+    return df.filter(F.col(user).isNotNull()).groupBy(day(ts).alias("day")).agg(F.hll_sketch_agg(user).alias("sketch"))
 
 
 def active_users(sketches: DataFrame, unit: str) -> DataFrame:
@@ -47,8 +48,8 @@ def aov(df: DataFrame, order: str, value: str, ts: str) -> DataFrame:
 
 
 def repeat_purchase_rate(df: DataFrame, user: str, order: str) -> DataFrame:
-    """Buyers, buyers with two or more orders, and the latter's share."""
-    per_user = df.groupBy(user).agg(F.count_distinct(order).alias("_orders"))
+    """Buyers, buyers with two or more orders, and the latter's share; no buyer is null."""
+    per_user = df.filter(F.col(user).isNotNull()).groupBy(user).agg(F.count_distinct(order).alias("_orders"))
     return per_user.agg(
         F.count("*").alias("buyers"), F.count_if(F.col("_orders") >= 2).alias("repeat_buyers")
     ).withColumn("repeat_rate", ratio(F.col("repeat_buyers"), F.col("buyers")))
@@ -58,8 +59,10 @@ def retention(df: DataFrame, user: str, ts: str, unit: str = "month") -> DataFra
     """Share of each cohort that is active again N days or months after its first.
 
     Users are reduced to their active periods first, so the window that finds a user's
-    first period holds no more rows than the calendar has periods.
+    first period holds no more rows than the calendar has periods. Rows without a user
+    are left out.
     """
+    df = df.filter(F.col(user).isNotNull())
     period = day(ts) if unit == "day" else F.trunc(day(ts), "month")
     active = df.select(F.col(user).alias("_user"), period.alias("_period")).distinct()
     first = active.withColumn("cohort", F.min("_period").over(Window.partitionBy("_user")))

@@ -21,9 +21,6 @@ from ..sources import materialise
 
 # Samples per bucket edge, which evens out bucket sizes.
 OVERSAMPLING = 8
-# Rows of a group table that may be broadcast. A heavy group is one with more than this
-# fraction of all rows, so there are never more heavy groups than this.
-BROADCAST_ROWS = 10_000
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -55,19 +52,11 @@ def combine(by: list[str], *parts: DataFrame) -> DataFrame:
 def attach(df: DataFrame, groups: DataFrame, on: list[str], weight: str) -> DataFrame:
     """Join a table of group statistics to the rows of those groups (inner, null-safe).
 
-    ``groups`` is written once and counted. Up to ``BROADCAST_ROWS`` rows it is
-    broadcast. Beyond, only the groups that hold at least one in ``BROADCAST_ROWS`` of
-    the rows are, of which there cannot be more than that, and the rows of the others are
-    shuffled. ``weight`` names the row count of each group; it is not added.
+    ``groups`` is written once, so Spark knows its size in bytes: it broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold`` and else shuffles both sides and splits
+    skewed keys. ``weight`` names the row count of each group; it is not added.
     """
-    groups = materialise(groups)
-    added = groups.drop(weight)
-    if groups.count() <= BROADCAST_ROWS:
-        return join_on(df, F.broadcast(added), on)
-    total = groups.agg(F.sum(weight)).scalar()
-    heavy = groups.filter(F.col(weight) * BROADCAST_ROWS >= total).drop(weight)
-    light_rows = join_on(df, F.broadcast(heavy.select(*on)), on, "left_anti")
-    return join_on(df, F.broadcast(heavy), on).unionByName(join_on(light_rows, added, on))
+    return join_on(df, materialise(groups).drop(weight), on)
 
 
 def with_bucket(freq: DataFrame, value: str, buckets: int) -> DataFrame:

@@ -12,7 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import day, micros, ratio, two_sided_p
-from .distribution import attach, bucket_count, with_bucket
+from .distribution import bucket_count, with_bucket
 
 
 def critical_value(alpha: float) -> float:
@@ -41,7 +41,7 @@ def sessions(
     """Sessions of each user: a pause of at least the gap starts a new one.
 
     ``counts`` are conditions whose rows are counted per session; ``keep`` are columns
-    fixed for a user, such as the test group.
+    fixed for a user, such as the test group. Actions without a user make no session.
 
     Two actions in the same gap-wide cell of time always share a session. So actions are
     first added up per user and cell, on the map side too, and the window that joins
@@ -51,7 +51,8 @@ def sessions(
     gap = gap_seconds * 1_000_000
     who = [user, *(keep or [])]
     cells = (
-        df.withColumn("_at", micros(df, ts))
+        df.filter(F.col(user).isNotNull())
+        .withColumn("_at", micros(df, ts))
         .groupBy(*who, F.floor(F.col("_at") / F.lit(gap)).alias("_cell"))
         .agg(
             F.min("_at").alias("_from"),
@@ -89,7 +90,10 @@ def sample_size(
 
     The baseline is the share of successes in ``df``. Two-sided two-proportion test;
     under the null hypothesis the variance is pooled, or else that of the alternative.
+    A target outside (0, 1) cannot be tested: ``n_per_group`` is null.
     """
+    if not mde:
+        raise ValueError("the effect to be seen must not be zero")
     z_alpha, z_power = critical_value(alpha), NormalDist().inv_cdf(power)
     p1, p2 = F.col("baseline"), F.col("target")
     mid = (p1 + p2) / 2
@@ -99,7 +103,7 @@ def sample_size(
     return (
         df.agg(ratio(F.count_if(success), F.count(success)).alias("baseline"))
         .withColumn("target", p1 + mde)
-        .withColumn("n_per_group", F.ceil(needed))
+        .withColumn("n_per_group", F.when((p2 > 0) & (p2 < 1), F.ceil(needed)))
     )
 
 
@@ -138,9 +142,10 @@ def group_counts(
 
 
 def success_share(df: DataFrame, group: str, success: str) -> DataFrame:
-    """Sessions, successful sessions and their share in each group."""
+    """Sessions with an outcome, successful ones and their share in each group."""
     return (
-        df.groupBy(group)
+        df.filter(F.col(success).isNotNull())
+        .groupBy(group)
         .agg(F.count("*").alias("sessions"), F.count_if(success).alias("successes"))
         .withColumn("share", ratio(F.col("successes"), F.col("sessions")))
     )
@@ -159,7 +164,11 @@ def two_proportion_z(
 
     By default sessions count as independent. ``cluster`` names the user column when
     they are not: the variance then comes from each user's sums by the delta method.
+    Rows without an outcome are left out, and rows without a user where users count.
     """
+    df = df.filter(F.col(success).isNotNull())
+    if cluster is not None:
+        df = df.filter(F.col(cluster).isNotNull())
     if cluster is None:
         units = df.select(
             F.col(group).alias("_g"), F.col(success).cast("bigint").alias("_s"), F.lit(1).alias("_n")
@@ -299,8 +308,11 @@ def srm(
     df: DataFrame, group: str, user: str, a: object, b: object, share_a: float = 0.5,
     alpha: float = 0.05,
 ) -> DataFrame:
-    """Chi-square check that users were split as planned between two groups; one row."""
-    users = df.select(group, user).distinct()
+    """Chi-square check that users were split as planned between two groups; one row.
+
+    Rows without a user are left out.
+    """
+    users = df.filter(F.col(user).isNotNull()).select(group, user).distinct()
     expected_a = (F.col("users_a") + F.col("users_b")) * share_a
     expected_b = (F.col("users_a") + F.col("users_b")) * (1 - share_a)
     chi2 = ratio(F.pow(F.col("users_a") - expected_a, 2), expected_a) + ratio(
@@ -315,16 +327,22 @@ def srm(
 
 
 def overlap(df: DataFrame, group: str, user: str) -> DataFrame:
-    """Users, those seen in more than one group, and their share; one row."""
-    per_user = df.groupBy(user).agg((F.min(group) != F.max(group)).alias("_both"))
+    """Users, those seen in more than one group, and their share; one row.
+
+    Rows without a user are left out.
+    """
+    per_user = df.filter(F.col(user).isNotNull()).groupBy(user).agg((F.min(group) != F.max(group)).alias("_both"))
     return per_user.agg(
         F.count("*").alias("users"), F.count_if("_both").alias("in_several_groups")
     ).withColumn("share", ratio(F.col("in_several_groups"), F.col("users")))
 
 
 def exclusive(df: DataFrame, group: str, user: str) -> DataFrame:
-    """Rows of users seen in one group only, as independent groups require."""
-    per_user = df.groupBy(user).agg(
-        (F.min(group) == F.max(group)).alias("_one"), F.count("*").alias("_rows")
-    )
-    return attach(df, per_user.filter("_one").drop("_one"), [user], "_rows")
+    """Rows of users seen in one group only, as independent groups require.
+
+    Only the users of several groups are joined, who are few; ``overlap`` counts them.
+    Rows without a user or group are left out.
+    """
+    rows = df.filter(F.col(user).isNotNull() & F.col(group).isNotNull())
+    per_user = rows.groupBy(user).agg((F.min(group) != F.max(group)).alias("_several"))
+    return rows.join(per_user.filter("_several").select(user), user, "left_anti").select(*df.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DateType, TimestampNTZType, TimestampType
@@ -41,18 +41,29 @@ def in_region_by_capacity(
     return marked.filter((F.col(registered) == region) | F.col("_here")).drop("_here")
 
 
+def moment(bound: object) -> date:
+    """A bound as a day, or as a time if it has one."""
+    if isinstance(bound, str):
+        return date.fromisoformat(bound) if len(bound) <= 10 else datetime.fromisoformat(bound)
+    return bound
+
+
 def in_period(df: DataFrame, col: str, first: object, last: object) -> DataFrame:
-    """Rows from ``first`` to ``last``, both included; days for a date or timestamp column.
+    """Rows from ``first`` to ``last``, both included; days or times for a date or timestamp column.
 
-    A timestamp is compared as a half-open range, so the whole last day counts and the
-    bounds reach the Parquet scan.
+    A last day counts whole, as a half-open range; a last time is included as given. Both
+    reach the Parquet scan. Strings with a time are times; a date column takes their days.
     """
     kind = df.schema[col].dataType
     if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
-        day = lambda d: date.fromisoformat(d) if isinstance(d, str) else d
-        start = F.lit(day(first).isoformat()).cast(kind)
-        behind = F.lit((day(last) + timedelta(days=1)).isoformat()).cast(kind)
-        return df.filter((F.col(col) >= start) & (F.col(col) < behind))
+        first, last = (moment(x) for x in (first, last))
+        if isinstance(kind, DateType):
+            first, last = (x.date() if isinstance(x, datetime) else x for x in (first, last))
+        after = F.col(col) >= F.lit(first.isoformat()).cast(kind)
+        if isinstance(last, datetime):
+            return df.filter(after & (F.col(col) <= F.lit(last.isoformat()).cast(kind)))
+        behind = F.lit((last + timedelta(days=1)).isoformat()).cast(kind)
+        return df.filter(after & (F.col(col) < behind))
     return df.filter((F.col(col) >= first) & (F.col(col) <= last))
 
 

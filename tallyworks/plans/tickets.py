@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.experiment import exclusive, mann_whitney, welch
+from ..operators.experiment import exclusive, mann_whitney, overlap, welch
 from ..operators.tickets import (
     activity_by,
     period_start,
@@ -63,6 +63,11 @@ _WELCH_DIGITS = dict.fromkeys(
 )
 
 
+def ticket_device_overlap(spark, d):
+    """Users of both devices, whom the device tests exclude."""
+    return plain(overlap(devices(spark, d), "device", "user_id"))
+
+
 def ticket_device_welch(spark, d):
     per_user = _one_device(spark, d).groupBy("device", "user_id").agg(F.count("*").alias("actions"))
     return plain(welch(per_user, "device", "actions", "mobile", "desktop"), _WELCH_DIGITS)
@@ -82,6 +87,7 @@ QUERIES = {
     "ticket_share_change": ticket_share_change,
     "ticket_device_activity": ticket_device_activity,
     "ticket_price_profile": ticket_price_profile,
+    "ticket_device_overlap": ticket_device_overlap,
     "ticket_device_welch": ticket_device_welch,
     "ticket_device_mwu": ticket_device_mwu,
 }
@@ -165,6 +171,11 @@ SELECT event_type, strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, count
        round(quantile_cont(value, 0.5), 6) AS price_median,
        round(quantile_cont(value, 0.75), 6) AS price_q3
 FROM events GROUP BY event_type, date_trunc('week', ts)""",
+    "ticket_device_overlap": f"""WITH {_DEVICES}, per_user AS (
+  SELECT user_id, count(DISTINCT device) AS n FROM device_events GROUP BY user_id)
+SELECT count(*) AS users, count(*) FILTER (n > 1) AS in_several_groups,
+       count(*) FILTER (n > 1) / count(*) AS share
+FROM per_user""",
     "ticket_device_welch": f"""WITH {_DEVICES}, per_user AS (
   SELECT device, user_id, count(*) AS actions FROM one_device GROUP BY device, user_id),
 {sql_welch("per_user", "device", "actions", "'mobile'", "'desktop'")}""",

@@ -82,10 +82,9 @@ def test_modes_take_the_smallest_of_tied_values(spark, rows):
     ]
 
 
-@pytest.mark.parametrize("limit", [2, 10_000])
-def test_rank_rows_equals_competition_rank(spark, monkeypatch, limit):
-    monkeypatch.setattr(dist, "BROADCAST_ROWS", limit)
-    rng = random.Random(limit)
+@pytest.mark.parametrize("seed", [2, 10_000])
+def test_rank_rows_equals_competition_rank(spark, seed):
+    rng = random.Random(seed)
     data = [(i, rng.choice([None, 1, 1, 1, rng.randrange(300)])) for i in range(2000)]
     df = spark.createDataFrame(data, "id int, m int")
     found = {r["id"]: r["place"] for r in dist.rank_rows(df, "m", "place").collect()}
@@ -106,13 +105,15 @@ def test_rank_rows_within_groups(spark, rows):
     ]
 
 
-@pytest.mark.parametrize("limit", [1, 3, 10_000])
-def test_attach_is_the_same_with_any_broadcast_limit(spark, monkeypatch, limit):
-    monkeypatch.setattr(dist, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_attach_is_the_same_with_any_broadcast_limit(spark, limit):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     data = skewed(3, 400)
     df = spark.createDataFrame(data, "g string, x double, k int")
     groups = df.groupBy("g").count().selectExpr("g", "count AS stat", "count AS n")
     found = dist.attach(df, groups, ["g"], "n").collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     sizes = {g: sum(r[0] == g for r in data) for g in {r[0] for r in data}}
     assert len(found) == len(data)
     assert all(r["stat"] == sizes[r["g"]] for r in found)

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from tallyworks.plans import all_queries, all_sql
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -16,8 +17,8 @@ TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean":
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+QUERIES = all_queries()
+SQL = all_sql()
 
 
 @pytest.fixture(scope="module")

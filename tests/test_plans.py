@@ -6,16 +6,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_module
 from tallyworks.operators import distribution, experiment, prepare, rating, scope
-from tallyworks.plans import inputs
+from tallyworks.plans import all_queries, inputs
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_module.queries()
+QUERIES = all_queries()
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
-
 def final_plan(df):
     """The executed plan without the initial versions that adaptive execution prints too."""
     df.collect()
@@ -29,11 +27,9 @@ def final_plan(df):
             kept.append(line)
     return "\n".join(kept)
 
-
 def scans(plan):
     return len(re.findall(r"FileScan|Scan ExistingRDD|Range \(", plan))
 
-
 @needs_tables
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_and_no_row_python(spark, name):
@@ -44,7 +40,6 @@ def test_no_cross_join_and_no_row_python(spark, name):
     if "ArrowEvalPython" in plan:
         assert re.search(r"device_(welch|mwu)|ab_(two|sess|srm)", name)
 
-
 @needs_tables
 @pytest.mark.parametrize("name", ["period_filter", "food_ltv", "game_platforms", "rating_table"])
 def test_period_reaches_the_scan(spark, name):
@@ -55,13 +50,11 @@ def test_period_reaches_the_scan(spark, name):
     plan = df._jdf.queryExecution().toString()
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan)
 
-
 @needs_tables
 def test_scan_reads_needed_columns_only(spark):
     plan = QUERIES["talk_top_speakers"](spark, FOLDER)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<l_suppkey:bigint,l_tax:double>" in plan
 
-
 def test_quantiles_read_the_data_once(spark, tmp_path):
     path = str(tmp_path / "data")
     spark.range(5000).selectExpr("id % 3 AS g", "cast(id as double) AS x").write.parquet(path)
@@ -70,14 +63,12 @@ def test_quantiles_read_the_data_once(spark, tmp_path):
     assert scans(plan) <= 1, plan
     assert "ReusedExchange" in plan
 
-
 def test_mann_whitney_reads_the_data_once(spark, tmp_path):
     path = str(tmp_path / "data")
     spark.range(5000).selectExpr("id % 2 AS g", "cast(id as double) AS x").write.parquet(path)
     plan = final_plan(experiment.mann_whitney(spark.read.parquet(path), "g", "x", 0, 1))
     assert scans(plan) <= 1, plan
 
-
 def test_dedupe_and_leaders_reduce_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 7 AS k", "id AS v")
     for result in (prepare.dedupe(df, ["k"], [F.desc("v")]), rating.leaders(df, "k", "v")):
@@ -86,7 +77,6 @@ def test_dedupe_and_leaders_reduce_before_the_shuffle(spark):
         exchange = plan.index("Exchange hashpartitioning")
         assert "WindowGroupLimit" in plan and partial > exchange  # printed top down
 
-
 def test_session_windows_hold_cells_not_actions(spark):
     # One user owns a third of the actions; they must be added up before the shuffle.
     df = spark.range(9000).selectExpr(
@@ -97,7 +87,6 @@ def test_session_windows_hold_cells_not_actions(spark):
     assert plan.index("partial_count") > window
     assert plan.count("Exchange hashpartitioning") == 2
 
-
 def test_skewed_join_is_split(spark, tmp_path):
     settings = {
         "spark.sql.shuffle.partitions": "32",
@@ -121,7 +110,6 @@ def test_skewed_join_is_split(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
 
-
 def test_library_keeps_to_distributed_calls():
     root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tallyworks")
     banned = r"\.collect\(|toPandas|crossJoin|localCheckpoint|\.rdd\b|F\.udf|applyInPandas|\.cache\(\)|\.persist\("

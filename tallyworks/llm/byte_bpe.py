@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -45,16 +46,21 @@ def white_space(pattern: str) -> str:
 
 
 def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            rank = ranks.get(parts[i] + parts[i + 1])
-            if rank is not None and (best is None or rank < best):
-                best, at = rank, i
-        if best is None:
+    """Merge the pair of least rank until none has one; only its neighbours are looked up anew."""
+    parts, none = [piece[i : i + 1] for i in range(len(piece))], len(ranks)
+    look = ranks.get
+    pairs = [look(a + b, none) for a, b in zip(parts, parts[1:])]
+    while pairs:
+        least = min(pairs)
+        if least == none:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        i = pairs.index(least)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = look(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = look(parts[i - 1] + parts[i], none)
     return [ranks[p] for p in parts]
 
 
@@ -91,29 +97,28 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Pieces:
-    """Encodes pre-tokens, remembering the ones seen."""
+class Pieces(dict):
+    """Encodes pre-tokens, remembering the short ones seen."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find, self.known = ranks, regex.compile(white_space(pattern)), {}
+        super().__init__()
+        self.ranks, self.find = ranks, regex.compile(white_space(pattern))
+
+    def __missing__(self, piece: str) -> tuple[int, ...] | list[int]:
+        raw = piece.encode("utf-8", "surrogatepass")
+        whole = self.ranks.get(raw)
+        if whole is not None:
+            ids = (whole,)
+        else:
+            ids = merge_short(raw, self.ranks) if len(raw) <= SHORT else merge_long(raw, self.ranks)
+        if len(raw) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for piece in self.find.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                raw = piece.encode("utf-8", "surrogatepass")
-                whole = self.ranks.get(raw)
-                if whole is not None:
-                    ids = (whole,)
-                else:
-                    ids = merge_short(raw, self.ranks) if len(raw) <= SHORT else merge_long(raw, self.ranks)
-                if len(raw) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = ids
-            out.extend(ids)
-        return out
+        return list(chain.from_iterable(map(self.__getitem__, self.find.findall(text))))
 
     def ends(self, text: str, start: int, stop: int) -> list[int]:
         """Ends of matches within ``start..stop``, scanning from the beginning."""

@@ -245,7 +245,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into:
         token = {r: t for t, r in sent.value.items()}
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            raw = [b"".join(map(token.__getitem__, x or ())) for x in column.to_pylist()]
+            parts = list(map(token.__getitem__, column.flatten().to_numpy().tolist()))
+            ends = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum().tolist()
+            raw = [b"".join(parts[i:j]) for i, j in zip([0, *ends], ends)]
             yield with_column(batch, into, pa.array(raw, pa.binary()), ids)
 
     encoded = encoded.drop(*[c for c in encoded.columns if c.lower() == into.lower() and c != ids])

@@ -16,7 +16,9 @@ import heapq
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
@@ -29,9 +31,13 @@ OVERLAP = 512
 # A match that ends this near the end of a cut window might end elsewhere with more text.
 MARGIN = 4
 # Pieces remembered by a task.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 # Longer pieces are merged with a heap.
 SHORT = 48
+# Short pieces merged together, and bytes of text encoded at once.
+TOGETHER = 1 << 14
+AT_ONCE = 1 << 20
+NO_RANK = np.int64(1 << 40)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,23 +51,69 @@ def white_space(pattern: str) -> str:
     return pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
 
-def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merge the pair of least rank until none has one; only its neighbours are looked up anew."""
-    parts, none = [piece[i : i + 1] for i in range(len(piece))], len(ranks)
-    look = ranks.get
-    pairs = [look(a + b, none) for a, b in zip(parts, parts[1:])]
-    while pairs:
-        least = min(pairs)
-        if least == none:
-            break
-        i = pairs.index(least)
-        parts[i] += parts.pop(i + 1)
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = look(parts[i] + parts[i + 1], none)
-        if i:
-            pairs[i - 1] = look(parts[i - 1] + parts[i], none)
-    return [ranks[p] for p in parts]
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the pairs of tokens that merge, and the rank of each merged token."""
+    keys, merged = [], []
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                keys.append(left << 32 | right)
+                merged.append(rank)
+    order = np.argsort(np.array(keys, dtype=np.int64))
+    return np.array(keys, dtype=np.int64)[order], np.array(merged, dtype=np.int64)[order]
+
+
+def ranks_of(left: np.ndarray, right: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Rank of each pair merged; NO_RANK where the pair does not merge or a side is missing (-1)."""
+    keys, merged = table
+    if not len(keys):
+        return np.full(left.shape, NO_RANK)
+    key = np.where((left < 0) | (right < 0), -1, left << 32 | right)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, merged[at], NO_RANK)
+
+
+def merge_many(raw: list[bytes], ranks: dict[bytes, int], table: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, ...]]:
+    """Ids of many short pieces, merged together step by step.
+
+    Every step merges the leftmost pair of least rank of each piece, and looks up its two
+    new neighbours only; pieces without a pair leave.
+    """
+    out: list[tuple[int, ...]] = [()] * len(raw)
+    sizes = np.array([len(r) for r in raw])
+    width = int(sizes.max())
+    data = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), dtype=np.uint8).reshape(-1, width)
+    single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+    parts = np.where(np.arange(width) < sizes[:, None], single[data], -1)
+    # One more column, always empty, stands to the right of the last part.
+    parts = np.concatenate([parts, np.full((len(raw), 1), -1)], axis=1)
+    pairs = ranks_of(parts[:, :-1], parts[:, 1:], table)
+    piece, places = np.arange(len(raw)), np.arange(width)
+    while True:
+        row = np.arange(len(piece))
+        best = pairs.argmin(axis=1)
+        least = pairs[row, best]
+        done = least == NO_RANK
+        for i, ids in zip(piece[done].tolist(), parts[done].tolist()):
+            out[i] = tuple(ids[: ids.index(-1)])
+        if done.all():
+            return out
+        if done.any():
+            more = ~done
+            piece, parts, pairs, best, least = piece[more], parts[more], pairs[more], best[more], least[more]
+            row = np.arange(len(piece))
+        parts[row, best] = least
+        # Parts and pairs after the merged one move up by a place.
+        after = np.minimum(places + (places > best[:, None]), width)
+        parts[:, :-1] = np.take_along_axis(parts, after, axis=1)
+        moved = np.minimum(places + (places >= best[:, None]), width - 1)
+        pairs = np.take_along_axis(pairs, moved, axis=1)
+        pairs[:, -1] = NO_RANK
+        pairs[row, best] = ranks_of(least, parts[row, best + 1], table)
+        inner = np.flatnonzero(best > 0)
+        left = best[inner] - 1
+        pairs[inner, left] = ranks_of(parts[inner, left], least[inner], table)
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -100,25 +152,36 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Pieces(dict):
     """Encodes pre-tokens, remembering the short ones seen."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], table: tuple[np.ndarray, np.ndarray], pattern: str):
         super().__init__()
-        self.ranks, self.find = ranks, regex.compile(white_space(pattern))
-
-    def __missing__(self, piece: str) -> tuple[int, ...] | list[int]:
-        raw = piece.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(raw)
-        if whole is not None:
-            ids = (whole,)
-        else:
-            ids = merge_short(raw, self.ranks) if len(raw) <= SHORT else merge_long(raw, self.ranks)
-        if len(raw) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.find.findall(text))))
+        self.ranks, self.table, self.find = ranks, table, regex.compile(white_space(pattern))
+
+    def __missing__(self, piece: str) -> list[int]:
+        """Only pieces that are too long to be remembered get here."""
+        return merge_long(piece.encode("utf-8", "surrogatepass"), self.ranks)
+
+    def learn(self, pieces: set[str]) -> None:
+        new = []
+        for piece in pieces:
+            raw = piece.encode("utf-8", "surrogatepass")
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                self[piece] = (whole,)
+            elif len(raw) <= SHORT:
+                new.append((len(raw), piece, raw))
+        new.sort()
+        # Pieces of about one length are merged together, so little is padding.
+        for s in range(0, len(new), TOGETHER):
+            part = new[s : s + TOGETHER]
+            ids = merge_many([raw for _, _, raw in part], self.ranks, self.table)
+            self.update(zip((piece for _, piece, _ in part), ids))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = list(map(self.find.findall, texts))
+        self.learn(set(chain.from_iterable(found)).difference(self))
+        return [list(chain.from_iterable(map(self.__getitem__, f))) for f in found]
 
     def ends(self, text: str, start: int, stop: int) -> list[int]:
         """Ends of matches within ``start..stop``, scanning from the beginning."""
@@ -136,16 +199,29 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array, drop: str) -
     return pa.RecordBatch.from_arrays([*(c for _, c in kept), values], [*(n for n, _ in kept), name])
 
 
-def encode_column(df: DataFrame, text: str, into: str, ranks, pattern: str, rows: int = 256) -> DataFrame:
+def groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """First place and number of consecutive rows of about ``most`` units, at least one row."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= most:
+            yield start, i + 1 - start
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
+def encode_column(df: DataFrame, text: str, into: str, ranks, pattern: str, most: int = AT_ONCE) -> DataFrame:
     """Replace the column ``text`` by ``into``, the ids of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(ranks.value, pattern)
+        pieces = Pieces(*ranks.value, pattern)
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            for i in range(0, batch.num_rows, rows):
-                part = batch.slice(i, rows)
-                ids = [pieces.encode(t or "") for t in part.column(at).to_pylist()]
+            sizes = pc.binary_length(batch.column(at)).fill_null(0).to_pylist()
+            for i, n in groups(sizes, most):
+                part = batch.slice(i, n)
+                ids = pieces.encode([t or "" for t in part.column(at).to_pylist()])
                 yield with_column(part, into, pa.array(ids, pa.list_(pa.int32())), text)
 
     fields = [f for f in df.schema.fields if f.name != text]
@@ -169,7 +245,7 @@ def cut(chunk: int, overlap: int):
 
 def boundaries(ranks, pattern: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(ranks.value, pattern)
+        pieces = Pieces(*ranks.value, pattern)
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
@@ -225,7 +301,7 @@ def encode(
     for each distinct text and joined back, so repeated rows are alike. A column that has
     the name of ``into`` is replaced. An empty table gives an empty table.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, pair_table(ranks)))
     docs = docs.drop(*[c for c in docs.columns if c.lower() == into.lower() and c != text])
     body = fresh(docs.columns, "_text")
     rows = docs.withColumn(text, text_of(text)).withColumnRenamed(text, body)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,14 @@ OVERLAP = 512
 # A match that ends this near the end of a cut window might end elsewhere with more text.
 MARGIN = 4
 # Pieces remembered by a task.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 # Longer pieces are merged with a heap.
 SHORT = 48
-# Short pieces merged together, and bytes of text encoded at once.
+# Short pieces merged together, and bytes of text encoded (ids decoded) at once.
 TOGETHER = 1 << 14
 AT_ONCE = 1 << 20
+# Ids are kept as bytes, four for each.
+ID = np.dtype("<i4")
 NO_RANK = np.int64(1 << 40)
 
 
@@ -74,13 +76,13 @@ def ranks_of(left: np.ndarray, right: np.ndarray, table: tuple[np.ndarray, np.nd
     return np.where(keys[at] == key, merged[at], NO_RANK)
 
 
-def merge_many(raw: list[bytes], ranks: dict[bytes, int], table: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, ...]]:
+def merge_many(raw: list[bytes], ranks: dict[bytes, int], table: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
     """Ids of many short pieces, merged together step by step.
 
     Every step merges the leftmost pair of least rank of each piece, and looks up its two
     new neighbours only; pieces without a pair leave.
     """
-    out: list[tuple[int, ...]] = [()] * len(raw)
+    out = [b""] * len(raw)
     sizes = np.array([len(r) for r in raw])
     width = int(sizes.max())
     data = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), dtype=np.uint8).reshape(-1, width)
@@ -95,8 +97,11 @@ def merge_many(raw: list[bytes], ranks: dict[bytes, int], table: tuple[np.ndarra
         best = pairs.argmin(axis=1)
         least = pairs[row, best]
         done = least == NO_RANK
-        for i, ids in zip(piece[done].tolist(), parts[done].tolist()):
-            out[i] = tuple(ids[: ids.index(-1)])
+        ids = parts[done].astype(ID)
+        flat, step = ids.tobytes(), ids.shape[1] * ID.itemsize
+        lengths = (ids >= 0).sum(axis=1) * ID.itemsize
+        for k, (i, length) in enumerate(zip(piece[done].tolist(), lengths.tolist())):
+            out[i] = flat[k * step : k * step + length]
         if done.all():
             return out
         if done.any():
@@ -156,9 +161,9 @@ class Pieces(dict):
         super().__init__()
         self.ranks, self.table, self.find = ranks, table, regex.compile(white_space(pattern))
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         """Only pieces that are too long to be remembered get here."""
-        return merge_long(piece.encode("utf-8", "surrogatepass"), self.ranks)
+        return np.array(merge_long(piece.encode("utf-8", "surrogatepass"), self.ranks), dtype=ID).tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         new = []
@@ -166,7 +171,7 @@ class Pieces(dict):
             raw = piece.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(raw)
             if whole is not None:
-                self[piece] = (whole,)
+                self[piece] = whole.to_bytes(ID.itemsize, "little")
             elif len(raw) <= SHORT:
                 new.append((len(raw), piece, raw))
         new.sort()
@@ -176,12 +181,13 @@ class Pieces(dict):
             ids = merge_many([raw for _, _, raw in part], self.ranks, self.table)
             self.update(zip((piece for _, piece, _ in part), ids))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
         if len(self) > REMEMBERED:
             self.clear()
         found = list(map(self.find.findall, texts))
         self.learn(set(chain.from_iterable(found)).difference(self))
-        return [list(chain.from_iterable(map(self.__getitem__, f))) for f in found]
+        return [b"".join(map(self.__getitem__, f)) for f in found]
 
     def ends(self, text: str, start: int, stop: int) -> list[int]:
         """Ends of matches within ``start..stop``, scanning from the beginning."""
@@ -222,7 +228,9 @@ def encode_column(df: DataFrame, text: str, into: str, ranks, pattern: str, most
             for i, n in groups(sizes, most):
                 part = batch.slice(i, n)
                 ids = pieces.encode([t or "" for t in part.column(at).to_pylist()])
-                yield with_column(part, into, pa.array(ids, pa.list_(pa.int32())), text)
+                ends = np.cumsum([0, *(len(x) // ID.itemsize for x in ids)]).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(ids), dtype=ID))
+                yield with_column(part, into, pa.ListArray.from_arrays(pa.array(ends), values), text)
 
     fields = [f for f in df.schema.fields if f.name != text]
     return df.mapInArrow(run, StructType(fields).add(into, ArrayType(IntegerType())))
@@ -320,11 +328,14 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {r: t for t, r in sent.value.items()}
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            parts = list(map(token.__getitem__, column.flatten().to_numpy().tolist()))
-            ends = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum().tolist()
-            raw = [b"".join(parts[i:j]) for i, j in zip([0, *ends], ends)]
-            yield with_column(batch, into, pa.array(raw, pa.binary()), ids)
+            at = batch.schema.get_field_index(ids)
+            sizes = batch.column(at).value_lengths().fill_null(0).to_pylist()
+            for first, n in groups(sizes, AT_ONCE):
+                rows = batch.slice(first, n)
+                parts = list(map(token.__getitem__, rows.column(at).flatten().to_numpy().tolist()))
+                ends = list(accumulate(sizes[first : first + n]))
+                raw = [b"".join(parts[i:j]) for i, j in zip([0, *ends], ends)]
+                yield with_column(rows, into, pa.array(raw, pa.binary()), ids)
 
     encoded = encoded.drop(*[c for c in encoded.columns if c.lower() == into.lower() and c != ids])
     fields = [f for f in encoded.schema.fields if f.name != ids]

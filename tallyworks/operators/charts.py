@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import bin_index, known
-from .distribution import attach, combine, quantiles, share_of_total
+from ..functions import bin_index, known, ratio
+from .distribution import attach, quantiles, share_of_total
 
 
 def histogram(
@@ -48,8 +48,7 @@ def boxplot(df: DataFrame, x: str, by: list[str], k: float = 1.5) -> DataFrame:
     spread = k * (F.col("q3") - F.col("q1"))
     fences = quartiles.withColumns({"_low": F.col("q1") - spread, "_high": F.col("q3") + spread})
     if by:
-        sizes = freq.groupBy(*by).agg(F.count("*").alias("_rows"))
-        fenced = attach(freq, combine(by, sizes, fences), by, "_rows")
+        fenced = attach(freq, fences, by)
     else:
         added = fences.select(F.struct("*")).scalar()
         fenced = freq.withColumn("_f", added).select("*", "_f.*").drop("_f")
@@ -93,7 +92,8 @@ def scatter_bins(
 
 def scatter_sample(df: DataFrame, key: list[str], n: int) -> DataFrame:
     """A fixed number of rows to draw, the same on every run: those of smallest key hash."""
-    return df.orderBy(F.xxhash64(*key), *key).limit(n)
+    rest = [c for c in df.columns if c not in key]
+    return df.orderBy(F.md5(F.concat_ws("|", *key)), *key, *rest).limit(n)
 
 
 def series(df: DataFrame, x: str, y: str, agg: str) -> DataFrame:
@@ -107,18 +107,30 @@ def series(df: DataFrame, x: str, y: str, agg: str) -> DataFrame:
 
 
 def dashboard(
-    df: DataFrame, dims: list[str], sums: dict[str, Column], subtotals: str = "cube"
+    df: DataFrame,
+    dims: list[str],
+    sums: dict[str, Column],
+    subtotals: str = "cube",
+    distinct: dict[str, Column] | None = None,
+    ratios: dict[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """Row count and sums for every combination of dimensions, with subtotals.
+    """Row count and metrics for every combination of dimensions, with subtotals.
 
-    ``level`` is the grouping id: bit set = that dimension is summed over. Rows are added
-    up by all dimensions first, so the subtotals multiply groups and not rows.
+    ``distinct`` counts different values, nulls ignored; ``ratios`` divide two of the
+    metrics on their own level, null where the divisor is zero. ``level`` is the grouping
+    id: bit set = that dimension is summed over. Rows are added up by all dimensions and
+    counted values first, so the subtotals multiply groups and not rows; each distinct
+    count is shuffled by its values too, so a large total is not left to one task.
     """
-    base = df.groupBy(*dims).agg(
+    distinct = distinct or {}
+    values = {name: f"_distinct_{name}" for name in distinct}
+    base = df.groupBy(*dims, *[c.alias(values[name]) for name, c in distinct.items()]).agg(
         F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()]
     )
     grouped = base.cube(*dims) if subtotals == "cube" else base.rollup(*dims)
-    return grouped.agg(
+    metrics = grouped.agg(
         F.grouping_id().cast("int").alias("level"),
         *[F.sum(c).alias(c) for c in ["n", *sums]],
+        *[F.count_distinct(value).alias(name) for name, value in values.items()],
     )
+    return metrics.withColumns({k: ratio(F.col(a), F.col(b)) for k, (a, b) in (ratios or {}).items()})

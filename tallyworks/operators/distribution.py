@@ -49,14 +49,17 @@ def combine(by: list[str], *parts: DataFrame) -> DataFrame:
     return union.groupBy(*by).agg(*[F.max(c).alias(c) for c in rest])
 
 
-def attach(df: DataFrame, groups: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """Join a table of group statistics to the rows of those groups (inner, null-safe).
+def attach(
+    df: DataFrame, groups: DataFrame, on: list[str], weight: str | None = None, how: str = "inner"
+) -> DataFrame:
+    """Join a table of group statistics to the rows of those groups (null-safe).
 
     ``groups`` is written once, so Spark knows its size in bytes: it broadcasts it below
     ``spark.sql.autoBroadcastJoinThreshold`` and else shuffles both sides and splits
-    skewed keys. ``weight`` names the row count of each group; it is not added.
+    skewed keys. ``weight`` names the row count of each group; it is not added. With
+    ``how="left"`` rows whose group has no statistics stay.
     """
-    return join_on(df, materialise(groups).drop(weight), on)
+    return join_on(df, materialise(groups).drop(*[weight] if weight else []), on, how)
 
 
 def with_bucket(freq: DataFrame, value: str, buckets: int) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .distribution import attach, combine, quantiles
+from ..functions import known
+from .distribution import attach, quantiles
 
 
 def dedupe(
@@ -35,7 +36,7 @@ def fill_missing(
     """Deal with nulls of one column: ``drop`` the rows, or fill by ``constant`` or ``median``.
 
     The median is that of the row's group, computed from the known values; a group
-    without known values stays null.
+    without known values stays null. NaN counts as null for the median.
     """
     if how == "drop":
         return df.dropna(subset=[col])
@@ -45,12 +46,11 @@ def fill_missing(
         raise ValueError(f"unknown way to fill: {how}")
     by = by or []
     kind = df.schema[col].dataType
-    median = quantiles(df, by, {"_median": col}, exact=exact)
+    median = quantiles(df, by, {"_median": known(F.col(col))}, exact=exact)
     if not by:
-        return df.withColumn(col, F.coalesce(F.col(col), median.scalar().cast(kind)))
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_rows"))
-    filled = attach(df, combine(by, sizes, median), by, "_rows")
-    return filled.withColumn(col, F.coalesce(F.col(col), F.col("_median").cast(kind))).drop("_median")
+        return df.withColumn(col, F.coalesce(known(F.col(col)), median.scalar().cast(kind)))
+    filled = attach(df, median, by, how="left")
+    return filled.withColumn(col, F.coalesce(known(F.col(col)), F.col("_median").cast(kind))).drop("_median")
 
 
 def normalise(
@@ -78,29 +78,46 @@ def failed_casts(df: DataFrame, casts: dict[str, str]) -> DataFrame:
     )
 
 
+def _fenced(df: DataFrame, col: str, by: list[str], fences: DataFrame, drop: bool) -> DataFrame:
+    if by:
+        fenced = attach(df, fences, by, how="left")
+    else:
+        both = fences.select(F.struct("lower", "upper")).scalar()
+        fenced = df.withColumn("_f", both).withColumns(
+            {"lower": F.col("_f.lower"), "upper": F.col("_f.upper")}
+        ).drop("_f")
+    value = known(F.col(col))
+    outside = (value < F.col("lower")) | (value > F.col("upper"))
+    flagged = fenced.withColumn("is_outlier", F.coalesce(outside, F.lit(False)))
+    return flagged.filter(~F.col("is_outlier")).select(*df.columns) if drop else flagged
+
+
 def iqr_fence(
-    df: DataFrame, col: str, by: list[str], k: float = 1.5, exact: bool = True
+    df: DataFrame, col: str, by: list[str], k: float = 1.5, exact: bool = True, drop: bool = False
 ) -> DataFrame:
     """Add ``lower`` and ``upper`` fence of the row's group and ``is_outlier``.
 
     The fences lie ``k`` interquartile ranges outside the quartiles; a value on a fence
-    is inside. A null value is not an outlier.
+    is inside. A null or NaN value is not an outlier. With ``drop`` the outliers go and
+    no column is added.
     """
-    quartiles = quantiles(df, by, {"_q": col}, {"1": 0.25, "3": 0.75}, exact)
+    quartiles = quantiles(df, by, {"_q": known(F.col(col))}, {"1": 0.25, "3": 0.75}, exact)
     spread = k * (F.col("_q3") - F.col("_q1"))
     fences = quartiles.select(
         *by, (F.col("_q1") - spread).alias("lower"), (F.col("_q3") + spread).alias("upper")
     )
-    if by:
-        sizes = df.groupBy(*by).agg(F.count("*").alias("_rows"))
-        fenced = attach(df, combine(by, sizes, fences), by, "_rows")
-    else:
-        both = fences.select(F.struct("lower", "upper")).scalar()
-        fenced = df.withColumn("_f", both).withColumns(
-            {"lower": F.col("_f.lower"), "upper": F.col("_f.upper")}
-        ).drop("_f")
-    outside = (F.col(col) < F.col("lower")) | (F.col(col) > F.col("upper"))
-    return fenced.withColumn("is_outlier", F.coalesce(outside, F.lit(False)))
+    return _fenced(df, col, by, fences, drop)
+
+
+def quantile_fence(
+    df: DataFrame, col: str, by: list[str], low: float = 0.01, high: float = 0.99,
+    exact: bool = True, drop: bool = False,
+) -> DataFrame:
+    """As ``iqr_fence``, with two quantiles of the row's group as the fences."""
+    if not 0 <= low < high <= 1:
+        raise ValueError("need 0 <= low < high <= 1")
+    bounds = quantiles(df, by, {"": known(F.col(col))}, {"lower": low, "upper": high}, exact)
+    return _fenced(df, col, by, bounds, drop)
 
 
 def derive(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

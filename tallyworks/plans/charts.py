@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators.charts import boxplot, dashboard, histogram, scatter_bins, scatter_sample, series
 from .inputs import places
 from .tables import money, plain, table
@@ -47,6 +49,24 @@ def dash_cube(spark, d):
     return plain(dashboard(facts, ["r_name", "c_mktsegment"], {"value": money("o_totalprice")}))
 
 
+def dash_metrics(spark, d):
+    bought = F.col("event_type") == "purchase"
+    events = table(spark, d, "events").select(
+        F.col("ts").cast("date").alias("day"), (F.col("user_id") % 2).alias("grp"), "user_id", "event_type",
+        money("value").alias("amount"),
+    )
+    return plain(
+        dashboard(
+            events,
+            ["day", "grp"],
+            {"orders": F.when(bought, 1).otherwise(0), "value": F.when(bought, F.col("amount"))},
+            distinct={"users": F.col("user_id"), "buyers": F.when(bought, F.col("user_id"))},
+            ratios={"cr": ("buyers", "users"), "aov": ("value", "orders")},
+        ),
+        {"cr": 6, "aov": 6},
+    )
+
+
 QUERIES = {
     "chart_histogram": chart_histogram,
     "chart_histogram_by_type": chart_histogram_by_type,
@@ -55,6 +75,7 @@ QUERIES = {
     "chart_scatter_sample": chart_scatter_sample,
     "chart_series": chart_series,
     "dash_cube": dash_cube,
+    "dash_metrics": dash_metrics,
 }
 
 _BINNED = "greatest(least(floor(value * 20 / 200), 19), 0)::BIGINT"
@@ -94,6 +115,24 @@ SELECT greatest(least(floor((l_quantity - xl) * 10 / (xh - xl)), 9), 0)::BIGINT
        greatest(least(floor((l_extendedprice - yl) * 10 / (yh - yl)), 9), 0)::BIGINT AS y_bin,
        count(*) AS n
 FROM lineitem, bounds GROUP BY 1, 2""",
+    "chart_scatter_sample": """
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_quantity, l_extendedprice
+FROM lineitem
+ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey)), l_orderkey, l_linenumber,
+         l_partkey, l_quantity, l_extendedprice
+LIMIT 1000""",
+    "dash_metrics": """
+WITH facts AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 2 AS grp, user_id,
+         event_type = 'purchase' AS bought, value::DECIMAL(12,2) AS amount
+  FROM events),
+metrics AS (
+  SELECT day, grp, grouping(day, grp)::BIGINT AS level, count(*) AS n,
+         count(*) FILTER (bought) AS orders, (sum(amount) FILTER (bought))::DOUBLE AS value,
+         count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (bought) AS buyers
+  FROM facts GROUP BY CUBE (day, grp))
+SELECT *, round(buyers / nullif(users, 0), 6) AS cr, round(value / nullif(orders, 0), 6) AS aov
+FROM metrics""",
     "chart_series": """
 WITH sums AS (
   SELECT event_type, sum(value::DECIMAL(12,2))::DOUBLE AS value FROM events GROUP BY event_type)

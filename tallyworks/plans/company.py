@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..operators.rating import growth, leaders, rating, return_on_sales
 from ..operators.scope import enrich, in_region_by_capacity
+from ..sources.tables import materialise
 from .inputs import (
     CAPACITY_SHARE,
     RATING_YEAR,
@@ -77,12 +78,18 @@ def rating_table(spark, d):
     return plain(rating(years, RATING_YEAR, REGION, THRESHOLD, capacity="cap_regions"))
 
 
+def rating_saved(spark, d):
+    """The rating written with ``save`` to the shared folder and read with ``load``."""
+    return materialise(rating_table(spark, d))
+
+
 QUERIES = {
     "rating_scope": rating_scope,
     "rating_ros": rating_ros,
     "rating_growth": rating_growth,
     "rating_leaders": rating_leaders,
     "rating_table": rating_table,
+    "rating_saved": rating_saved,
 }
 
 _LINES = """
@@ -159,3 +166,4 @@ JOIN growth g ON c.company_id = g.company_id AND c.year = g.year
 JOIN ros r ON c.company_id = r.company_id AND c.year = r.year
 WHERE c.year = 2000 AND revenue >= 4000000""",
 }
+SQL["rating_saved"] = SQL["rating_table"]

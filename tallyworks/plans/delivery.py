@@ -32,6 +32,14 @@ def food_dau_sketch(spark, d):
     return plain(dau(_events(spark, d), "user_id", "ts", exact=False))
 
 
+def food_dau_bound(spark, d):
+    """Days, and whether the estimate lies within five percent and one user of the count."""
+    exact = dau(_events(spark, d), "user_id", "ts")
+    estimate = dau(_events(spark, d), "user_id", "ts", exact=False).withColumnRenamed("dau", "estimate")
+    near = F.abs(F.col("estimate") - F.col("dau")) <= 0.05 * F.col("dau") + 1
+    return plain(exact.join(estimate, "day").select("day", "dau", near.alias("within_bound")))
+
+
 def food_wau_sketch(spark, d):
     return plain(active_users(daily_sketches(_events(spark, d), "user_id", "ts"), "week"))
 
@@ -72,6 +80,7 @@ def food_retention_day(spark, d):
 QUERIES = {
     "food_dau": food_dau,
     "food_dau_sketch": food_dau_sketch,
+    "food_dau_bound": food_dau_bound,
     "food_wau_sketch": food_wau_sketch,
     "food_cr": food_cr,
     "food_aov": food_aov,
@@ -117,6 +126,9 @@ FROM counts JOIN sizes USING (cohort)"""
 SQL = {
     "food_dau": f"""WITH {_EVENTS}
 SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS dau FROM seen GROUP BY 1""",
+    "food_dau_bound": f"""WITH {_EVENTS}
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS dau, true AS within_bound
+FROM seen GROUP BY 1""",
     "food_cr": f"""WITH {_EVENTS}
 SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS users,
        count(DISTINCT user_id) FILTER (event_type = 'purchase') AS converted,

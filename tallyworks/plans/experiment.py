@@ -33,7 +33,8 @@ def ab_duration(spark, d):
 
 
 def ab_sessions(spark, d):
-    return plain(session_table(spark, d).drop("started", "ended"))
+    exact = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("started", "ended")}
+    return plain(session_table(spark, d).withColumns(exact))
 
 
 def ab_group_counts(spark, d):
@@ -98,7 +99,9 @@ numbered AS (
            PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_no
   FROM paused),
 session AS (
-  SELECT user_id, user_id % 2 AS grp, session_no::BIGINT AS session_no, count(*) AS actions,
+  SELECT user_id, user_id % 2 AS grp, session_no::BIGINT AS session_no,
+         strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started,
+         strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ended, count(*) AS actions,
          count(*) FILTER (event_type = 'purchase') AS purchases,
          count(*) FILTER (event_type = 'signup') AS registrations,
          count(*) FILTER (event_type = 'view') AS page_views,

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tier
-from ..operators.prepare import dedupe, derive, failed_casts, fill_missing, iqr_fence, normalise
+from ..operators.prepare import (
+    dedupe,
+    derive,
+    failed_casts,
+    fill_missing,
+    iqr_fence,
+    normalise,
+    quantile_fence,
+)
 from ..operators.scope import enrich, in_period, in_place
 from .tables import plain, table
 
@@ -48,9 +56,22 @@ def prep_failed_casts(spark, d):
     return plain(failed_casts(_names(spark, d), {"digits": "bigint", "name": "double"}))
 
 
+def _values(spark, d):
+    return table(spark, d, "events").select("event_id", "event_type", "value")
+
+
 def prep_iqr_flag(spark, d):
-    events = table(spark, d, "events").select("event_id", "event_type", "value")
-    return plain(iqr_fence(events, "value", ["event_type"]), {"lower": 6, "upper": 6})
+    flagged = iqr_fence(_values(spark, d), "value", ["event_type"])
+    return plain(flagged, {"lower": 6, "upper": 6})
+
+
+def prep_iqr_drop(spark, d):
+    return plain(iqr_fence(_values(spark, d), "value", ["event_type"], drop=True))
+
+
+def prep_quantile_flag(spark, d):
+    flagged = quantile_fence(_values(spark, d), "value", ["event_type"], 0.05, 0.95)
+    return plain(flagged, {"lower": 6, "upper": 6})
 
 
 def prep_derive(spark, d):
@@ -84,6 +105,8 @@ QUERIES = {
     "prep_normalise": prep_normalise,
     "prep_failed_casts": prep_failed_casts,
     "prep_iqr_flag": prep_iqr_flag,
+    "prep_iqr_drop": prep_iqr_drop,
+    "prep_quantile_flag": prep_quantile_flag,
     "prep_derive": prep_derive,
     "period_filter": period_filter,
     "place_filter": place_filter,
@@ -129,6 +152,19 @@ WITH q AS (
 SELECT event_id, event_type, value, round(q1 - 1.5 * (q3 - q1), 6) AS lower,
        round(q3 + 1.5 * (q3 - q1), 6) AS upper,
        value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) AS is_outlier
+FROM events JOIN q USING (event_type)""",
+    "prep_iqr_drop": """
+WITH q AS (
+  SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+  FROM events GROUP BY event_type)
+SELECT event_id, event_type, value FROM events JOIN q USING (event_type)
+WHERE value IS NULL OR value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""",
+    "prep_quantile_flag": """
+WITH q AS (
+  SELECT event_type, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.95) AS q95
+  FROM events GROUP BY event_type)
+SELECT event_id, event_type, value, round(q05, 6) AS lower, round(q95, 6) AS upper,
+       value < q05 OR value > q95 AS is_outlier
 FROM events JOIN q USING (event_type)""",
     "prep_derive": """
 SELECT o_orderkey, o_totalprice, month(o_orderdate)::BIGINT AS month,

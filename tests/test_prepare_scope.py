@@ -63,6 +63,25 @@ def test_iqr_fence(spark):
     assert [r["x"] for r in whole if r["is_outlier"]] == [100.0]
 
 
+def test_fences_drop_or_flag_and_ignore_nan(spark):
+    nan = float("nan")
+    data = [("a", float(v)) for v in range(1, 9)] + [("a", 100.0), ("a", None), ("a", nan), ("b", None), (None, 5.0)]
+    df = spark.createDataFrame(data, "g string, x double")
+    flagged = prepare.iqr_fence(df, "x", ["g"]).collect()
+    assert len(flagged) == len(data)
+    assert [r["x"] for r in flagged if r["is_outlier"]] == [100.0]
+    dropped = prepare.iqr_fence(df, "x", ["g"], drop=True)
+    assert dropped.columns == df.columns and dropped.count() == len(data) - 1
+    wide = prepare.quantile_fence(df, "x", ["g"], 0.25, 0.75).collect()
+    assert sorted(r["x"] for r in wide if r["is_outlier"]) == [1.0, 2.0, 8.0, 100.0]
+    assert {(r["lower"], r["upper"]) for r in wide if r["g"] == "a"} == {(3.0, 7.0)}
+    whole = prepare.quantile_fence(df, "x", [], 0.0, 1.0)
+    assert not whole.filter("is_outlier").count()
+    assert prepare.quantile_fence(df.limit(0), "x", ["g"]).count() == 0
+    with pytest.raises(ValueError):
+        prepare.quantile_fence(df, "x", ["g"], 0.9, 0.1)
+
+
 def test_explode_topics(spark, rows):
     df = spark.createDataFrame([(1, "art; life;art"), (2, ""), (3, None), (4, "life")], "id int, t string")
     assert rows(prepare.explode_topics(df, "t", ";")) == [

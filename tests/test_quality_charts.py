@@ -85,3 +85,19 @@ def test_dashboard_subtotals(spark, subtotals, levels):
     assert [(r["n"], r["v"]) for r in total] == [(3, 7)]
     for level in levels:
         assert sum(r["n"] for r in found if r["level"] == level) == 3
+
+
+def test_dashboard_distinct_and_ratios(spark):
+    data = [("a", "x", 1, True), ("a", "x", 1, False), ("a", "y", 2, False), (None, "x", 1, True), (None, "x", None, True)]
+    df = spark.createDataFrame(data, "p string, q string, u int, done boolean")
+    found = charts.dashboard(
+        df, ["p", "q"], {"done": F.col("done").cast("int")},
+        distinct={"users": F.col("u"), "doers": F.when(F.col("done"), F.col("u"))},
+        ratios={"cr": ("doers", "users")},
+    ).collect()
+    by = {(r["level"], r["p"], r["q"]): r for r in found}
+    assert len(by) == len(found) == 8
+    total = by[3, None, None]
+    assert (total["n"], total["done"], total["users"], total["doers"], total["cr"]) == (5, 3, 2, 1, 0.5)
+    assert (by[1, "a", None]["users"], by[1, None, None]["users"]) == (2, 1)
+    assert by[0, "a", "y"]["cr"] == 0.0

@@ -7,8 +7,10 @@ prefix level on, levels are opened in all trees at once until they hold enough c
 so prefixes are as long as the surroundings of the query allow. Candidates are compared
 by their exact cosine on the original vectors.
 
-Equal vectors are one node with their least ids, so copies never fill a prefix. The
-sorted array of a tree is dealt by place, not by prefix, into blocks of equal size that
+Equal vectors are one node with their least ids, so copies never fill a prefix. Vectors
+that are close but not equal can share a whole string in more places than a search looks
+at; such a group is told apart by the sides of further hyperplanes of that tree through
+its own centre, again and again until no group is larger than the reach. The sorted array of a tree is dealt by place, not by prefix, into blocks of equal size that
 overlap their neighbours by the reach of a search; a frequent prefix is no larger block.
 """
 
@@ -30,6 +32,8 @@ ENOUGH = 40_000
 # Places of a sorted array in a block, and those looked at on either side of a query.
 BLOCK = 4096
 REACH = 2048
+# Members of a group, drawn by hash, whose mean is its centre.
+CENTRE = 256
 SEED = 11
 
 
@@ -79,6 +83,72 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+
+
+def centre(table: pa.Table) -> pa.Table:
+    """The mean direction of one group's drawn members, in an order that is always the same."""
+    vectors = unit(matrix(table.sort_by("node").column("vector")))
+    return table.slice(0, 1).select(["tree", "bits", "deep"]).append_column(
+        "centre", pa.array([vectors.mean(axis=0).tolist()], pa.list_(pa.float64()))
+    )
+
+
+def deeper(bits: int, seed: int, turn: int):
+    """Add to ``deep`` the sides of a tree's further hyperplanes through the group's centre."""
+    schema = pa.schema(
+        [("tree", pa.int32()), ("bits", pa.int64()), ("deep", pa.list_(pa.int64())), ("node", pa.int64()), ("asks", pa.bool_())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = {}
+        weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            away = unit(matrix(batch.column("vector"))) - matrix(batch.column("centre"))
+            tree = batch.column("tree").to_numpy()
+            sides = np.zeros(len(tree), dtype=np.int64)
+            for t in np.unique(tree).tolist():
+                if t not in planes:
+                    planes[t] = np.random.default_rng([seed, turn, t]).standard_normal((away.shape[1], bits))
+                at = tree == t
+                sides[at] = (away[at] @ planes[t] > 0) @ weights
+            deep = [d + [x] for d, x in zip(batch.column("deep").to_pylist(), sides.tolist())]
+            columns = {"deep": pa.array(deep, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([columns.get(f.name, batch.column(f.name)) for f in schema], schema=schema)
+
+    return run
+
+
+def tell_apart(named: DataFrame, nodes: DataFrame, most: int, bits: int, seed: int) -> DataFrame:
+    """Add ``deep``, further strings for rows whose string more than ``most`` rows share.
+
+    Every hyperplane through a group's centre has members on both sides, so groups shrink
+    from turn to turn; turns end when no group is too large or none was divided, which
+    leaves only vectors of one direction. Centres are at most the rows over ``most``.
+    """
+    group = ["tree", "bits", "deep"]
+    named = materialise(named.withColumn("deep", F.array().cast("array<long>")))
+    turn, before = 0, None
+    while True:
+        large = materialise(named.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > most))
+        now = tuple(large.agg(F.count("*"), F.sum("_n")).first())
+        if not now[0] or now == before:
+            return named
+        turn, before = turn + 1, now
+        crowd = named.join(large.drop("_n"), group, "left_semi")
+        drawn = Window.partitionBy(*group).orderBy(F.xxhash64("node"), "node")
+        drawn = crowd.withColumn("_r", F.row_number().over(drawn)).filter(F.col("_r") <= CENTRE).drop("_r")
+        drawn = drawn.join(nodes.select("node", "vector"), "node").select(*group, "node", "vector")
+        centres = drawn.groupBy(*group).applyInArrow(centre, "tree int, bits long, deep array<long>, centre array<double>")
+        crowd = crowd.join(materialise(centres), group).join(nodes.select("node", "vector"), "node")
+        told = crowd.mapInArrow(deeper(bits, seed, turn), "tree int, bits long, deep array<long>, node long, asks boolean")
+        rest = named.join(large.drop("_n"), group, "left_anti")
+        named = materialise(told.unionByName(rest))
+
+
 def common_bits(strings: np.ndarray, query: int, bits: int) -> np.ndarray:
     return bits - np.frexp((strings ^ query).astype(np.float64))[1]
 
@@ -136,8 +206,9 @@ def search(
     ``asks`` tells of the id column ``id`` which rows are queries. A row without an id or
     with a vector that is null, zero, not finite, or not of the most frequent length takes
     no part. Ties go to the smaller id; a query's own id is left out. The hyperplanes
-    depend on the seed alone; nothing is fitted. With ``enough`` or fewer rows in all
-    trees, every row is a candidate. An empty table gives an empty table.
+    depend on the seed alone, and the centres of large groups on their members. With
+    ``enough`` or fewer rows in all trees, every row is a candidate. An empty
+    table gives an empty table.
     """
     if reach > block:
         raise ValueError("a search must not reach beyond the next block")
@@ -145,14 +216,15 @@ def search(
     nodes = materialise(
         rows.groupBy("vector").agg(F.min("id").alias("node"), F.max("asks").alias("asks"))
     )
+    size = nodes.count()
     members = rows.join(nodes.select("vector", "node"), "vector").select("id", "asks", "node")
     members = materialise(members)
     # A node's least ids are all that k places can show, and one more for the query itself.
     order = Window.partitionBy("node").orderBy("id")
     least = members.select("node", "id").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
     named = nodes.mapInArrow(strings(trees, bits, seed), "tree int, bits long, node long, asks boolean")
-    placed = number_rows(named, ["tree", "bits", "node"], "place")
-    size = nodes.count()
+    named = tell_apart(named, nodes, reach, bits, seed)
+    placed = number_rows(named, ["tree", "bits", "deep", "node"], "place").drop("deep")
     inside = (F.col("place") % F.lit(max(1, size))).cast("long")
     spread = placed.withColumn("place", inside).withColumn("block", F.floor(F.col("place") / block).cast("long"))
     rest = F.col("place") % block

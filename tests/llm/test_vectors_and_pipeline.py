@@ -50,6 +50,30 @@ def test_recall_with_few_candidates(spark):
     assert prefix_forest.recall(found, spark.createDataFrame(exact, "query_id long, vec_id long")) >= 0.9
 
 
+def exact_neighbours(spark, x, asks):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    exact = []
+    for q in asks:
+        s = x @ x[q]
+        s[q] = -2
+        exact += [(q, int(i)) for i in np.argsort(-s)[:5]]
+    return spark.createDataFrame(exact, "query_id long, vec_id long")
+
+
+def test_recall_in_one_tight_cluster(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 16))
+    x[::3] = rng.standard_normal(16) + 1e-3 * rng.standard_normal((1000, 16))
+    # Within the cluster a tighter one, for a second turn.
+    x[::9] = x[0] + 1e-6 * rng.standard_normal((334, 16))
+    table = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = prefix_forest.search(
+        table, F.col("id") % 50 == 0, "vec_id", "embedding", trees=24, enough=2400, block=128, reach=64
+    ).cache()
+    for asks in (range(0, 3000, 50), range(0, 3000, 150)):  # all queries, those in the cluster
+        assert prefix_forest.recall(found, exact_neighbours(spark, x, asks)) >= 0.9
+
+
 def test_reach_is_bounded(spark):
     with pytest.raises(ValueError):
         prefix_forest.search(spark.range(1), F.lit(True), "id", "v", block=10, reach=11)

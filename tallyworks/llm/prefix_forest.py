@@ -16,6 +16,7 @@ overlap their neighbours by the reach of a search; a frequent prefix is no large
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +28,24 @@ from .common import materialise, number_rows
 TREES = 40
 # Bits of a string; below 53, so that a double holds it exactly.
 BITS = 48
-# Candidates, counted once for each tree that finds them, at which levels stop opening.
+# Candidates, counted once for each tree that finds them, at which levels stop opening,
+# and places of a sorted array looked at on either side of a query, for up to ``ROOM``
+# nodes. Beyond, both grow with that power of the nodes, or recall would fall.
 ENOUGH = 40_000
-# Places of a sorted array in a block, and those looked at on either side of a query.
-BLOCK = 4096
 REACH = 2048
+ROOM = 60_000
+GROWTH = 0.9
 # Members of a group, drawn by hash, whose mean is its centre.
 CENTRE = 256
 SEED = 11
 
 
+def budget(nodes: int) -> tuple[int, int]:
+    """The candidates and the reach for so many nodes."""
+    grown = max(1.0, nodes / ROOM) ** GROWTH
+    return math.ceil(ENOUGH * grown), math.ceil(REACH * grown)
+
+
 def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
     """Rows that take part: an id, and a vector of the usual length, finite and not zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -199,7 +208,7 @@ def nearest(bits: int, reach: int, top: int):
 
 def search(
     vectors: DataFrame, asks, id: str, vector: str, k: int = 5, trees: int = TREES, bits: int = BITS,
-    enough: int = ENOUGH, block: int = BLOCK, reach: int = REACH, seed: int = SEED,
+    enough: int | None = None, block: int | None = None, reach: int | None = None, seed: int = SEED,
 ) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id`` and ``score`` of the ``k`` nearest found.
 
@@ -207,16 +216,20 @@ def search(
     with a vector that is null, zero, not finite, or not of the most frequent length takes
     no part. Ties go to the smaller id; a query's own id is left out. The hyperplanes
     depend on the seed alone, and the centres of large groups on their members. With
-    ``enough`` or fewer rows in all trees, every row is a candidate. An empty
-    table gives an empty table.
+    ``enough`` or fewer rows in all trees, every row is a candidate. ``enough`` and
+    ``reach`` follow from the number of nodes (``budget``) where they are not given, and a
+    block is twice the reach. An empty table gives an empty table.
     """
-    if reach > block:
+    if reach and block and reach > block:
         raise ValueError("a search must not reach beyond the next block")
     rows = usable(vectors, id, vector).withColumn("asks", asks)
     nodes = materialise(
         rows.groupBy("vector").agg(F.min("id").alias("node"), F.max("asks").alias("asks"))
     )
     size = nodes.count()
+    usual_enough, usual_reach = budget(size)
+    enough, reach = enough or usual_enough, reach or min(usual_reach, block or usual_reach)
+    block = block or 2 * reach
     members = rows.join(nodes.select("vector", "node"), "vector").select("id", "asks", "node")
     members = materialise(members)
     # A node's least ids are all that k places can show, and one more for the query itself.

@@ -74,6 +74,19 @@ def test_recall_in_one_tight_cluster(spark):
         assert prefix_forest.recall(found, exact_neighbours(spark, x, asks)) >= 0.9
 
 
+def test_budget_grows_with_the_table(spark, monkeypatch):
+    assert prefix_forest.budget(60_000) == (40_000, 2048)
+    enough, reach = prefix_forest.budget(250_000)
+    assert enough >= 3 * 40_000 and reach >= 3 * 2048
+    # The same rules at a hundredth of the size.
+    for name, value in (("ENOUGH", 400), ("REACH", 20), ("ROOM", 400)):
+        monkeypatch.setattr(prefix_forest, name, value)
+    x = np.random.default_rng(8).standard_normal((6000, 16))
+    table = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = prefix_forest.search(table, F.col("id") % 100 == 0, "vec_id", "embedding").cache()
+    assert prefix_forest.recall(found, exact_neighbours(spark, x, range(0, 6000, 100))) >= 0.9
+
+
 def test_reach_is_bounded(spark):
     with pytest.raises(ValueError):
         prefix_forest.search(spark.range(1), F.lit(True), "id", "v", block=10, reach=11)

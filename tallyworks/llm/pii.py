@@ -1,12 +1,13 @@
 """Personal data and the terms that give it away, in DataFrame functions only.
 
 Four kinds of identifiers are found by pattern. Each distinct identifier is a protected
-entity. Terms in its surroundings are weighed by what the corpus says about them: the
+entity. Terms of the texts that hold it are weighed by what the corpus says about them: the
 pointwise mutual information of term and entity over distinct texts, relative to the
-information content of the entity. At 1 the term occurs nowhere but beside the entity and
-reveals it as fully as its own value does; terms above one threshold are generalised to a
-placeholder, above a higher one removed. Pairs seen in fewer texts than the support are
-left alone, since one text alone is no evidence of co-occurrence.
+information content of the entity. At 1 the term occurs nowhere but in texts of the entity
+and reveals it as fully as its own value does; terms above one threshold are generalised to
+a placeholder, above a higher one removed, wherever they occur as whole terms in any text.
+Pairs seen in fewer texts than the support are left alone, since one text alone is no
+evidence of co-occurrence.
 """
 
 from __future__ import annotations
@@ -22,8 +23,7 @@ from .common import aside, let, materialise, text_of
 # In the order of ties.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 PLACEHOLDER = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
-# Code points of the surroundings on either side, letters of the shortest term.
-AROUND = 80
+# Letters of the shortest term.
 SHORTEST = 3
 SUPPORT = 3
 GENERALISE = 0.7
@@ -43,6 +43,10 @@ CARD = r"[0-9][0-9\x20-]+"
 CARD_BLUR = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
+# Stands for the code points of identifiers, so that no term touches one.
+BLANK = "\ue000"
+TERM = rf"(?<![\p{{L}}{BLANK}])\p{{L}}{{{SHORTEST},}}+(?!{BLANK})"
+
 STEP = 128
 
 
@@ -150,30 +154,51 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), plain)
 
 
-def terms_near(text: Column, span: Column, spans: Column) -> Column:
-    """Whole terms on either side of a span that touch no identifier: term, start, end."""
-    first = F.greatest(span["start"] - AROUND, F.lit(0))
-    sides = (
-        (first, F.substr(text, first + 1, span["start"] - first), (first > 0), F.lit(False)),
-        (span["end"], F.substr(text, span["end"] + 1, F.lit(AROUND)), F.lit(False), F.lit(True)),
-    )
+def blanked(text: Column, spans: Column) -> Column:
+    """The text, each code point of a span as ``BLANK``; places stay as they are."""
+    plain = F.translate(text, BLANK, " ")
+
+    def build(ends: Column) -> Column:
+        def all_parts(before: Column) -> Column:
+            def part(s: Column, i: Column) -> Column:
+                done = F.get(before, i)
+                gap = F.greatest(s["start"] - done, F.lit(0))
+                return F.concat(
+                    F.substr(plain, done + 1, gap),
+                    F.repeat(F.lit(BLANK), F.greatest(s["end"] - F.greatest(s["start"], done), F.lit(0))),
+                )
 
-    def side(offset: Column, window: Column, cut_left: Column, cut_right: Column) -> Column:
-        def whole(r: Column) -> Column:
-            cut = (cut_left & (r["start"] == 0)) | (cut_right & (r["end"] == AROUND))
-            return (F.length(r["value"]) >= SHORTEST) & ~cut
+            rest = F.substr(plain, F.array_max(ends) + 1, F.length(text))
+            return F.concat(F.array_join(F.transform(spans, part), ""), rest)
 
-        def term(r: Column) -> Column:
-            return F.struct(
-                F.lower(r["value"]).alias("term"), (r["start"] + offset).alias("start"), (r["end"] + offset).alias("end")
-            )
+        return let(running(ends, F.lit(0), lambda a, b: F.greatest(a, b)), all_parts)
 
-        return F.transform(F.filter(matches(window, r"\p{L}+", 4), whole), term)
+    return F.when(F.size(spans) == 0, plain).otherwise(let(F.transform(spans, lambda s: s["end"]), build))
 
-    return F.filter(
-        F.concat(*[side(*s) for s in sides]),
-        lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
-    )
+
+def terms(text: Column, spans: Column) -> Column:
+    """The distinct whole terms of a text that touch no identifier, in lower case."""
+    found = F.regexp_extract_all(blanked(text, spans), F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda w: F.lower(w)))
+
+
+def words_of(text: Column) -> Column:
+    """The distinct whole terms of a text in lower case, those in identifiers too."""
+    long = F.filter(F.split(text, r"[^\p{L}]+"), lambda w: F.length(w) >= SHORTEST)
+    return F.array_distinct(F.transform(long, lambda w: F.lower(w)))
+
+
+def term_spans(text: Column, spans: Column, kinds: Column) -> Column:
+    """Every place of a term of the map ``kinds`` that touches no identifier."""
+
+    def span(r: Column) -> Column:
+        return F.struct(
+            r["start"].alias("start"), F.element_at(kinds, F.lower(r["value"])).alias("kind"),
+            r["end"].alias("end"), F.lit("").alias("value"),
+        )
+
+    found = F.transform(matches(blanked(text, spans), TERM, 4), span)
+    return F.filter(found, lambda s: s["kind"].isNotNull())
 
 
 def content_key(text: Column) -> list[Column]:
@@ -182,21 +207,23 @@ def content_key(text: Column) -> list[Column]:
 
 
 def disclosing(docs: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """Per distinct text (``_h``, ``_n``) the spans ``_terms`` of terms to sanitise."""
+    """Per distinct text (``_h``, ``_n``) with terms to sanitise the map ``_kinds`` of them."""
     texts = docs.select(text_of().alias("_t")).select("_t", *content_key(F.col("_t")))
     spanned = texts.withColumn("_spans", base_spans(F.col("_t"))).filter(F.size("_spans") > 0)
-    near = spanned.select("_h", "_n", "_t", "_spans", F.explode("_spans").alias("_s"))
-    near = near.select("_h", "_n", entity(F.col("_s")).alias("_e"), terms_near(F.col("_t"), F.col("_s"), F.col("_spans")).alias("_near"))
-    # An identifier without terms around still counts as seen.
-    near = materialise(near.select("_h", "_n", "_e", F.explode_outer("_near").alias("_r")).select("_h", "_n", "_e", "_r.*"))
-    both = near.filter("term is not null").select("_e", "term", "_h", "_n").distinct().groupBy("_e", "term").agg(F.count("*").alias("_both"))
+    entities = F.array_distinct(F.transform("_spans", lambda s: entity(s)))
+    # One row for each distinct text that holds an identifier.
+    near = spanned.select("_h", "_n", entities.alias("_es"), terms(F.col("_t"), F.col("_spans")).alias("_terms"))
+    near = materialise(near.dropDuplicates(["_h", "_n"]))
+    held = near.select(F.explode("_es").alias("_e")).groupBy("_e").agg(F.count("*").alias("_with"))
+    held = materialise(held.filter(F.col("_with") >= support))
+    # Pairs only of entities that reach the support.
+    often = near.select("_terms", F.explode("_es").alias("_e")).join(held.select("_e"), "_e", "left_semi")
+    both = often.select("_e", F.explode("_terms").alias("term")).groupBy("_e", "term").agg(F.count("*").alias("_both"))
     both = materialise(both.filter(F.col("_both") >= support))
     wanted = materialise(both.select("term").distinct())
-    held = near.select("_e", "_h", "_n").distinct().groupBy("_e").agg(F.count("*").alias("_with"))
     # Terms of all texts, counted once for each distinct text.
-    spread = F.array_distinct(F.filter(F.split(F.lower(F.col("_t")), r"[^\p{L}]+"), lambda w: F.length(w) >= SHORTEST))
-    each = texts.select("_h", "_n", F.explode(spread).alias("term")).join(wanted, "term", "left_semi")
-    known = each.distinct().groupBy("term").agg(F.count("*").alias("_texts"))
+    words = texts.select("_h", "_n", F.explode(words_of(F.col("_t"))).alias("term"))
+    known = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("_texts"))
     total = texts.select("_h", "_n").distinct().agg(F.count("*")).scalar().cast("double")
     weighed = both.join(held, "_e").join(known, "term")
     information = F.log2(total / F.col("_with"))
@@ -205,11 +232,12 @@ def disclosing(docs: DataFrame, support: int, generalise: float, remove: float)
     weighed = weighed.withColumn("_ratio", ratio).filter(F.col("_ratio") >= generalise)
     kind = F.when(F.col("_ratio") >= remove, F.lit(5)).otherwise(F.lit(4))
     weighed = materialise(weighed.select("_e", "term", kind.alias("kind")))
-    # A term beside two entities is treated by the stricter of the two.
-    marked = near.join(weighed, ["_e", "term"]).groupBy("_h", "_n", "start", "end").agg(F.max("kind").alias("kind"))
-    # Spans of one text only, as many as it has terms.
-    span = F.struct("start", "kind", "end", F.lit("").alias("value"))
-    return materialise(marked.groupBy("_h", "_n").agg(F.collect_list(span).alias("_terms")))
+    # A term of two entities is treated by the stricter of the two.
+    strict = materialise(weighed.groupBy("term").agg(F.max("kind").alias("kind")))
+    marked = words.join(strict, "term").select("_h", "_n", "term", "kind").distinct()
+    # Terms of one text only, as many as it has.
+    kinds = F.map_from_entries(F.collect_list(F.struct("term", "kind")))
+    return materialise(marked.groupBy("_h", "_n").agg(kinds.alias("_kinds")))
 
 
 def find(
@@ -226,8 +254,9 @@ def find(
         {"_h": F.xxhash64(text_of()), "_n": F.length(text_of())}
     )
     joined = join_on(keyed, extra, ["_h", "_n"], "left")
-    spans = F.array_sort(F.concat(F.col("_base"), F.coalesce("_terms", none())))
-    return joined.withColumn("_all", spans).drop("_h", "_n", "_terms")
+    found = F.when(F.col("_kinds").isNull(), none()).otherwise(term_spans(text_of(), F.col("_base"), F.col("_kinds")))
+    spans = F.array_sort(F.concat(F.col("_base"), found))
+    return joined.withColumn("_all", spans).drop("_h", "_n", "_kinds")
 
 
 def listed(spans: Column) -> Column:

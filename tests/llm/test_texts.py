@@ -362,6 +362,21 @@ def test_disclosing_terms(spark):
     assert all("common" in clean[i] and "the" in clean[i] for i in range(60, 64))
 
 
+def test_disclosing_terms_everywhere(spark):
+    far = "common filler of the body " * 20
+    other = [f"common filler of the body {chr(97 + i % 26)}x" + " again" * i for i in range(60)]
+    # One name far from the address and again beside it, one never nearer than 80 code points.
+    known = [f"Zorblat Quixel {far} zorblat zed@spy.example.com émzed@spy.example.com {far}{w} ZORBLAT" for w in ("one", "two", "three", "four")]
+    rows = [(i, t) for i, t in enumerate(other + known + ["a note of Zorblat alone, not Zorblatta"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all(clean[i] == t for i, t in rows if i < 60)
+    for i in range(60, 64):
+        assert "zorblat" not in clean[i].lower() and "Quixel" not in clean[i]
+        assert clean[i].count("[EMAIL]") == 2 and "é[EMAIL]" in clean[i] and clean[i].count("common filler") == 40
+    assert clean[64] == "a note of  alone, not Zorblatta"
+
+
 def test_many_spans_in_one_text(spark):
     text = " ".join(f"u{i}@h{i}.example.com" for i in range(700))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import fresh
 
@@ -155,17 +155,24 @@ def sample(labelled: DataFrame, lang: str, text: str, salt: Column, rows: int =
     """Bucket counts of a bounded sample, as (language, buckets, counts).
 
     The sample takes equally many rows of each language (the ``languages`` most frequent),
-    by a hash of ``salt``. Only bucket counts reach the driver, whose size does not depend
-    on the length of a text: at most ``2 * rows`` lists of at most ``BUCKETS`` entries.
-    Each row gives its whole text and a short piece of it, for short texts.
+    those of least hash of ``salt``, so it does not depend on partitions. Only bucket
+    counts reach the driver, whose size does not depend on the length of a text: at most
+    ``2 * rows`` lists of at most ``BUCKETS`` entries. Each row gives its whole
+    text and a short piece of it, for short texts.
     """
     counts = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).collect()
     if not counts:
         return []
     each = max(1, rows // len(counts))
-    chance = F.create_map(*[F.lit(x) for r in counts for x in (r[lang], min(1.0, 1.2 * each / r["count"]))])
+    # Draws enough by chance, so that no more than these are ranked; six deviations and 20
+    # rows over the quota, so that no language runs short.
+    drawn = each + 6 * each**0.5 + 20
+    chance = F.create_map(*[F.lit(x) for r in counts for x in (r[lang], min(1.0, drawn / r["count"]))])
     place = F.pmod(F.xxhash64(F.lit("sample"), salt), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = labelled.filter(place < F.element_at(chance, F.col(lang))).select(F.col(lang).alias("l"), F.col(text).alias("t"), place.alias("p"))
+    near = labelled.filter(place < F.element_at(chance, F.col(lang)))
+    near = near.select(F.col(lang).alias("l"), F.col(text).alias("t"), place.alias("p"), salt.alias("s"))
+    first = Window.partitionBy("l").orderBy("p", "s", F.xxhash64("t"), "t")
+    least = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= each).select("l", "t", "p")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +190,7 @@ def sample(labelled: DataFrame, lang: str, text: str, salt: Column, rows: int =
                 pa.schema([("l", pa.string()), ("p", pa.float64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))]),
             )
 
-    found = drawn.mapInArrow(count, "l string, p double, at array<int>, n array<long>").limit(2 * rows).toArrow().to_pylist()
+    found = least.mapInArrow(count, "l string, p double, at array<int>, n array<long>").toArrow().to_pylist()
     found.sort(key=lambda r: (r["p"], r["l"], len(r["at"]), r["at"]))
     number = {r[lang]: i for i, r in enumerate(sorted(counts, key=lambda r: r[lang]))}
     return [sorted(number), [(number[r["l"]], np.array(r["at"], np.int64), np.array(r["n"], np.float64)) for r in found]]

@@ -494,6 +494,20 @@ def test_language(spark, given):
     assert all(odd[i]["lang_pred"] in model.languages and 0 <= odd[i]["score"] <= 1 for i in (4, 5))
 
 
+def test_sample_is_bounded_by_hash(spark):
+    rows = [(i, f"l{i % 8}", f"words of {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} here") for i in range(1600)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = []
+    # Partitions by language, the first and the last language first.
+    for order in (table.lang, table.lang.desc()):
+        dealt = table.repartitionByRange(8, order)
+        names, drawn = language_id.sample(dealt, "lang", "text", dealt.doc_id.cast("string"), rows=80)
+        assert names == [f"l{k}" for k in range(8)]
+        assert Counter(x[0] for x in drawn) == {k: 20 for k in range(8)}  # two of each document
+        found.append([(k, at.tolist(), n.tolist()) for k, at, n in drawn])
+    assert found[0] == found[1]
+
+
 def test_language_of_messy_and_empty(messy, nothing):
     mask = id_crc() % 4 == 2
     for table in (messy, nothing):

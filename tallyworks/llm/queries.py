@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, context_tree, language_id, mixing, pii, prefix_forest, quality, sharding, simhash, suffix_dedup
+from . import (
+    byte_bpe, context_tree, language_id, mixing, pii, prefix_forest, quality, resample, sharding, simhash, suffix_dedup,
+)
 from .common import id_crc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +67,13 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents drawn towards the benchmark's distribution of words."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    found = resample.score(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_hash_tree_shards": op2_hash_tree_shards,
@@ -76,6 +85,7 @@ QUERIES = {
     "op8_prefix_forest": op8_prefix_forest,
     "op9_mix_sources": op9_mix_sources,
     "op10_sanitise": op10_sanitise,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 # XXH64 draws, byte merges, models and sorted suffixes are beyond SQL: the queries are
 # tested against brute force, held-out accuracy and exact round trips.

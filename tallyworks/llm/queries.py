@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    byte_bpe, context_tree, language_id, mixing, pii, prefix_forest, quality, resample, sharding, simhash, suffix_dedup,
+    byte_bpe, context_tree, language_id, merkle, mixing, order_minhash, pii, prefix_forest, quality, resample,
+    sharding, simhash, suffix_dedup,
 )
 from .common import id_crc
 
@@ -67,6 +68,16 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form."""
+    return order_minhash.digest(documents(spark, folder))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves, proofs and the check of rows of which some have lost their line breaks."""
+    return merkle.digest(documents(spark, folder))
+
+
 def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """Documents drawn towards the benchmark's distribution of words."""
     docs = documents(spark, folder).select("doc_id", "text")
@@ -85,6 +96,8 @@ QUERIES = {
     "op8_prefix_forest": op8_prefix_forest,
     "op9_mix_sources": op9_mix_sources,
     "op10_sanitise": op10_sanitise,
+    "op11_order_minhash": op11_order_minhash,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_importance_resampling": op13_importance_resampling,
 }
 # XXH64 draws, byte merges, models and sorted suffixes are beyond SQL: the queries are

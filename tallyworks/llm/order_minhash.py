@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import BinaryType, StructType
+from pyspark.sql.types import StructType
 
 from .common import materialise, text_of
 
@@ -233,7 +233,7 @@ def edits(
     An empty table gives an empty table.
     """
     made = lambda: Sketcher(k, sketches, picked, seed)
-    kind = docs.schema[order].dataType
+    kind = docs.schema[order].dataType.simpleString()
     rows = docs.select(F.col(order).alias("id"), text_of().alias("text")).withColumns(
         # Equal rows are told apart, so that many of them are dealt to several tasks.
         {"_h": F.xxhash64("text"), "_line": F.monotonically_increasing_id()}
@@ -269,10 +269,7 @@ def edits(
         schema = pa.schema([*zip(names, types), *_FIELDS])
         yield from _batches(found(schema), schema)
 
-    schema = StructType().add("part", "int").add("state", "int").add("id", kind).add("text", "string")
-    for name, type_name in (c.split() for c in RESULT.split(", ")):
-        schema = schema.add(name, type_name)
-    told = materialise(lined.mapInArrow(walk, schema))
+    told = materialise(lined.mapInArrow(walk, f"part int, state int, id {kind}, text string, {RESULT}"))
 
     # One row for each partition with rows: the first text of the next one, or of the first.
     firsts = told.filter("state = 1").select("part", F.col("text").alias("following"))
@@ -295,7 +292,7 @@ def edits(
             yield from _batches(rows, schema)
 
     names = ["id", *(n for n, _ in _FIELDS)]
-    last = ends.mapInArrow(finish, StructType([f for f in schema.fields if f.name in names]))
+    last = ends.mapInArrow(finish, f"id {kind}, {RESULT}")
     done = told.filter("state = 0").select(*names).unionByName(last)
     return done.withColumnRenamed("id", order)
 

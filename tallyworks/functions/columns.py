@@ -6,7 +6,10 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DateType, DecimalType, DoubleType, TimestampNTZType
+from pyspark.sql.types import DateType, DecimalType, DoubleType, FloatType, TimestampNTZType
+
+# Factors below 2^31, so that products of 32-bit numbers stay below 2^63, and shifts.
+HASH_ROUNDS = ((0x2C1B3C6D, 15), (0x297A2D39, 13))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -23,7 +26,31 @@ def mean(df: DataFrame, col: str) -> Column:
     """Mean of a column. Decimals are summed exactly, so the order of rows is irrelevant."""
     if isinstance(df.schema[col].dataType, DecimalType):
         return ratio(F.sum(col), F.count(col))
-    return F.avg(col)
+    return F.avg(number(df, col))
+
+
+def number(df: DataFrame, col: str) -> Column:
+    """A column, with NaN read as null if its type has one."""
+    if isinstance(df.schema[col].dataType, (DoubleType, FloatType)):
+        return F.when(~F.isnan(col), F.col(col))
+    return F.col(col)
+
+
+def hash32(*parts: Column, seed: int = 0) -> Column:
+    """A hash of whole numbers, 0 to 2^32 - 1, in arithmetic that any SQL engine can spell.
+
+    Each part is folded to 32 bits and mixed in by two odd factors and two shifts.
+    """
+    low = F.lit((1 << 32) - 1)
+    h = F.lit(seed).cast("long")
+    for part in parts:
+        part = part.cast("long")
+        x = h.bitwiseXOR(part.bitwiseXOR(F.shiftrightunsigned(part, 32)).bitwiseAND(low))
+        for factor, shift in HASH_ROUNDS:
+            x = (x * factor).bitwiseAND(low)
+            x = x.bitwiseXOR(F.shiftright(x, shift))
+        h = x
+    return h
 
 
 def tier(value: Column, cuts: list[float], labels: list[str]) -> Column:

@@ -17,16 +17,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import known, number
 from ..sources import materialise
 
 # Samples per bucket edge, which evens out bucket sizes.
 OVERSAMPLING = 8
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Buckets of the value range: follows the session's parallelism, within bounds."""
+def bucket_count(df: DataFrame, least: int = 64) -> int:
+    """Buckets of the value range: as many as the session's shuffle partitions.
+
+    The operators that use buckets take another number as an argument.
+    """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(64, min(4096, partitions))
+    return max(least, partitions)
 
 
 def match(left: list[str], right: list[str]) -> Column:
@@ -83,7 +87,9 @@ def with_bucket(freq: DataFrame, value: str, buckets: int) -> DataFrame:
     )
 
 
-def by_bucket(freq: DataFrame, by: list[str], value: str, weight: str) -> tuple[DataFrame, DataFrame]:
+def by_bucket(
+    freq: DataFrame, by: list[str], value: str, weight: str, buckets: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Rows spread by group and bucket, and the place of each bucket in its group.
 
     Both come from one shuffle by ``_key``, a group's keys and the bucket in a struct: it
@@ -92,7 +98,7 @@ def by_bucket(freq: DataFrame, by: list[str], value: str, weight: str) -> tuple[
     its own, and ``_size``, that of the whole group.
     """
     spread = (
-        with_bucket(freq, value, bucket_count(freq))
+        with_bucket(freq, value, buckets or bucket_count(freq))
         .select(F.struct(*by, "_bucket").alias("_key"), value, weight)
         .repartition("_key")
     )
@@ -124,15 +130,16 @@ def quantiles(
     columns: dict[str, Column | str],
     probs: dict[str, float] | None = None,
     exact: bool = True,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Quantiles of several columns per group, linearly interpolated, nulls ignored.
+    """Quantiles of several columns per group, linearly interpolated, null and NaN ignored.
 
     Result columns are ``<name><suffix>`` for each ``columns`` name and ``probs`` suffix;
     the default is the median under the plain name. Groups without any value are absent.
     ``exact=False`` uses bounded-size sketches in one shuffle (returns existing values).
     """
     probs = probs or {"": 0.5}
-    cols = {n: (F.col(c) if isinstance(c, str) else c).cast("double") for n, c in columns.items()}
+    cols = {n: known((F.col(c) if isinstance(c, str) else c).cast("double")) for n, c in columns.items()}
     if not exact:
         return df.groupBy(*by).agg(
             *[
@@ -149,7 +156,7 @@ def quantiles(
         long = df.select(*by, F.explode(F.array(*entries)).alias("_x")).select(*by, "_x.*")
     keys = [*by, "_col"]
     freq = long.filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    spread, places = by_bucket(freq, keys, "_v", "_n")
+    spread, places = by_bucket(freq, keys, "_v", "_n", buckets)
 
     # 0-based ranks of the two neighbours each quantile lies between.
     low = {s: F.floor((F.col("_size") - 1) * p) for s, p in probs.items()}
@@ -206,26 +213,61 @@ def modes(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 
 def rank_rows(
-    df: DataFrame, measure: str, name: str, by: list[str] | None = None
+    df: DataFrame, measure: str, name: str, by: list[str] | None = None, buckets: int | None = None
 ) -> DataFrame:
     """Add the rank (1, 2, 2, 4) of each row by falling ``measure``, as ``name``.
 
     For ranking without a partition, or within partitions that are not known to be
-    small. Null measures rank last. ``df`` is read several times, so it is written once
-    first.
+    small. Null and NaN measures share the last place. ``df`` is read several times, so it
+    is written once first.
     """
     by = by or []
-    rows = materialise(df)
-    freq = rows.groupBy(*by, measure).agg(F.count("*").alias("_n"))
-    spread, places = by_bucket(freq, by, measure, "_n")
-    upto = F.col("_before") + running_weight(measure, "_n")
+    rows = materialise(df.withColumn("_measure", number(df, measure)))
+    freq = rows.groupBy(*by, "_measure").agg(F.count("*").alias("_n"))
+    spread, places = by_bucket(freq, by, "_measure", "_n", buckets)
+    upto = F.col("_before") + running_weight("_measure", "_n")
     ranks = spread.join(places, "_key").select(
         *[F.col(f"_key.{k}").alias(k) for k in by],
-        measure,
+        "_measure",
         (F.col("_size") - upto + 1).alias(name),
         "_n",
     )
-    return attach(rows, ranks, [*by, measure], "_n")
+    return attach(rows, ranks, [*by, "_measure"], "_n").drop("_measure")
+
+
+def rank_correlation(
+    df: DataFrame, x: str, y: str, by: list[str] | None = None, buckets: int | None = None
+) -> DataFrame:
+    """Spearman's correlation of two measures per group, tied values at their mean rank.
+
+    Null and NaN make a pair incomplete; only complete pairs count. Equal pairs are added
+    up first. Each measure is ranked by buckets of its value range, and the ranks are
+    joined to the different pairs, so neither a large group nor a frequent value is ever
+    in one task or in one window. Result: ``by``, ``n`` and ``rho``, null where a measure
+    has one value only.
+    """
+    by = by or []
+    a, b = (number(df, c).cast("double") for c in (x, y))
+    pairs = df.select(*by, a.alias("_x"), b.alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
+    pairs = materialise(pairs.groupBy(*by, "_x", "_y").agg(F.count("*").alias("_w")))
+    placed = pairs
+    for c in ("_x", "_y"):
+        freq = pairs.groupBy(*by, c).agg(F.sum("_w").alias("_n"))
+        spread, places = by_bucket(freq, by, c, "_n", buckets)
+        # Twice the mean rank less the mean of all ranks: a whole number, zero on average.
+        upto = F.col("_before") + running_weight(c, "_n")
+        ranks = spread.join(places, "_key").select(
+            *[F.col(f"_key.{k}").alias(k) for k in by],
+            c,
+            (2 * upto - F.col("_n") - F.col("_size")).cast("double").alias(f"_r{c}"),
+        )
+        placed = attach(placed, ranks, [*by, c])
+    r, s, w = F.col("_r_x"), F.col("_r_y"), F.col("_w")
+    sums = placed.groupBy(*by).agg(
+        F.sum("_w").alias("n"), F.sum(w * r * s).alias("_rs"), F.sum(w * r * r).alias("_rr"), F.sum(w * s * s).alias("_ss")
+    )
+    spread = F.sqrt("_rr") * F.sqrt("_ss")
+    return sums.select(*by, "n", F.try_divide(F.col("_rs"), F.when(spread > 0, spread)).alias("rho"))
 
 
 def share_of_total(df: DataFrame, measure: str, name: str = "share") -> DataFrame:

@@ -1,8 +1,10 @@
 """A/B tests: sessions, sizing, group summaries and significance.
 
 Every test first reduces the data to counts or moments per group; the statistic is then
-an expression over one row. Two-sided p-values use the normal tail, which for Welch's
-statistic holds for large groups.
+an expression over one row. Two-sided p-values use the normal tail, and for Welch's
+statistic that of Student's distribution. Null and NaN values are no observations, and
+rows without a user belong to no unit. Without a statistic there is no verdict either:
+``significant`` and ``p_value`` are null.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import day, micros, ratio, two_sided_p
+from ..functions import day, known, micros, number, ratio, student_tail, two_sided_p
 from .distribution import bucket_count, with_bucket
 
 
@@ -20,13 +22,18 @@ def critical_value(alpha: float) -> float:
     return NormalDist().inv_cdf(1 - alpha / 2)
 
 
-def verdict(df: DataFrame, statistic: str, alpha: float) -> DataFrame:
-    """Add the p-value of a statistic and whether it is significant at ``alpha``."""
+def verdict(df: DataFrame, statistic: str, alpha: float, freedom: str | None = None) -> DataFrame:
+    """Add the p-value of a statistic and whether it is significant at ``alpha``.
+
+    With ``freedom`` the statistic has Student's distribution of so many degrees, else
+    the normal one.
+    """
+    if freedom:
+        tested = df.withColumn("p_value", student_tail(F.col(statistic), F.col(freedom)))
+        return tested.withColumn("significant", F.col("p_value") <= alpha)
+    value = known(F.col(statistic))
     return df.withColumns(
-        {
-            "significant": F.abs(statistic) >= critical_value(alpha),
-            "p_value": two_sided_p(statistic),
-        }
+        {"significant": F.abs(value) >= critical_value(alpha), "p_value": two_sided_p(value)}
     )
 
 
@@ -112,10 +119,12 @@ def duration(
 ) -> DataFrame:
     """Days until enough users have come: needed users over mean daily new users.
 
+    Activity without a user is left out.
+
     ``required`` is the one row of ``sample_size``. A user is new on the first day of
     activity; the mean runs over all calendar days of the data, also those without one.
     """
-    per_user = activity.groupBy(user).agg(
+    per_user = activity.filter(F.col(user).isNotNull()).groupBy(user).agg(
         F.min(day(ts)).alias("_first"), F.max(day(ts)).alias("_last")
     )
     return (
@@ -219,7 +228,7 @@ def welch(
 
     Rows must be independent units. Without variance in both groups the statistic is null.
     """
-    value = F.col(x).cast("double")
+    value = number(df, x).cast("double")
     aggs = []
     for name, g in (("a", a), ("b", b)):
         of = F.when(F.col(group) == g, value)
@@ -242,19 +251,22 @@ def welch(
             "df": freedom,
         }
     )
-    return verdict(tested, "t", alpha)
+    return verdict(tested, "t", alpha, "df")
 
 
 def sessions_per_user(
     df: DataFrame, group: str, user: str, a: object, b: object, alpha: float = 0.05
 ) -> DataFrame:
-    """Mean sessions per user in each group and Welch's test of the difference; one row."""
-    per_user = df.groupBy(group, user).agg(F.count("*").alias("_sessions"))
+    """Mean sessions per user in each group and Welch's test of the difference; one row.
+
+    Sessions without a user are left out.
+    """
+    per_user = df.filter(F.col(user).isNotNull()).groupBy(group, user).agg(F.count("*").alias("_sessions"))
     return welch(per_user, group, "_sessions", a, b, alpha)
 
 
 def mann_whitney(
-    df: DataFrame, group: str, x: str, a: object, b: object, alpha: float = 0.05
+    df: DataFrame, group: str, x: str, a: object, b: object, alpha: float = 0.05, buckets: int | None = None
 ) -> DataFrame:
     """Mann-Whitney test with tie correction; ``u`` counts pairs where ``a`` is greater.
 
@@ -262,7 +274,7 @@ def mann_whitney(
     value range, and only the bucket totals are added up in one place.
     """
     freq = (
-        df.filter(F.col(x).isNotNull() & F.col(group).isin(a, b))
+        df.filter(number(df, x).isNotNull() & F.col(group).isin(a, b))
         .groupBy(F.col(x).alias("_v"))
         .agg(F.count_if(F.col(group) == a).alias("_a"), F.count_if(F.col(group) == b).alias("_b"))
     )
@@ -274,7 +286,7 @@ def mann_whitney(
     smaller_b = F.sum("_b").over(running) - F.col("_b")
     tied = (F.col("_a") + F.col("_b")).cast("double")
     buckets = (
-        with_bucket(freq, "_v", bucket_count(df))
+        with_bucket(freq, "_v", buckets or bucket_count(df))
         .withColumn("_wins", F.col("_a").cast("double") * (smaller_b + F.col("_b") / 2))
         .groupBy("_bucket")
         .agg(
@@ -284,7 +296,7 @@ def mann_whitney(
             F.sum(tied * tied * tied - tied).alias("_ties"),
         )
     )
-    # One row per bucket, so at most 4097 rows.
+    # One row per bucket.
     order = Window.partitionBy(F.lit(0)).orderBy("_bucket")
     lower_b = F.sum("_b").over(order) - F.col("_b")
     n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")

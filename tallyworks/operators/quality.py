@@ -4,26 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import mean, ratio
+from ..functions import mean, number, ratio
 from .distribution import combine, quantiles, share_of_total
 
 
 def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """One row per column: rows, nulls, distinct values, smallest and largest as text.
 
-    All columns in one pass, with estimated distinct counts. ``exact=True`` counts them
+    NaN counts as null. All columns in one pass, with estimated distinct counts. ``exact=True`` counts them
     in a second pass, which shuffles every distinct value of every column; it is kept
     apart so that the minima and maxima do not travel with it.
     """
     aggs = [F.count("*").alias("rows")]
-    for i, c in enumerate(df.columns):
+    values = [number(df, c) for c in df.columns]
+    for i, c in enumerate(values):
         aggs += [
             F.count(c).alias(f"known_{i}"),
             F.min(c).cast("string").alias(f"min_{i}"),
             F.max(c).cast("string").alias(f"max_{i}"),
         ]
     count = F.count_distinct if exact else F.approx_count_distinct
-    distinct = [count(c).alias(f"distinct_{i}") for i, c in enumerate(df.columns)]
+    distinct = [count(c).alias(f"distinct_{i}") for i, c in enumerate(values)]
     if exact:
         counted = df.agg(*distinct).select(F.struct("*")).scalar()
         summary = df.agg(*aggs).withColumn("_d", counted).select("*", "_d.*")
@@ -71,8 +72,11 @@ def copies(df: DataFrame, key: Column, rule: str) -> DataFrame:
 
 
 def heterogeneity(df: DataFrame, category: str, x: str, exact: bool = True) -> DataFrame:
-    """How unevenly rows and a measure spread: share, mean, relative deviation, quantiles."""
-    value = F.col(x).cast("double")
+    """How unevenly rows and a measure spread: share, mean, relative deviation, quantiles.
+
+    Null and NaN count as rows of their category and have no part in the measure.
+    """
+    value = number(df, x).cast("double")
     levels = df.groupBy(category).agg(
         F.count("*").alias("n"),
         mean(df, x).alias("mean"),
@@ -85,11 +89,15 @@ def heterogeneity(df: DataFrame, category: str, x: str, exact: bool = True) -> D
 
 
 def category_detail(df: DataFrame, category: str, x: str, exact: bool = True) -> DataFrame:
-    """Rows, share of known values, their total and median in each category."""
+    """Rows, share of known values, their total and median in each category.
+
+    NaN is not known.
+    """
+    value = number(df, x)
     levels = df.groupBy(category).agg(
         F.count("*").alias("n"),
-        ratio(F.count(x), F.count("*")).alias("filled_share"),
-        F.sum(x).alias("total"),
+        ratio(F.count(value), F.count("*")).alias("filled_share"),
+        F.sum(value).alias("total"),
     )
     return combine([category], levels, quantiles(df, [category], {"median": x}, exact=exact))
 

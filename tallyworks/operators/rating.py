@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import ratio
+from ..functions import number, ratio
 from .distribution import rank_rows
 from .scope import in_region, min_revenue
 
@@ -22,14 +22,14 @@ def growth(df: DataFrame, key: str, year: str, measure: str) -> DataFrame:
 
     ``df`` has one row per key and year, so a window holds one company's years. The rate
     is null unless the row before is exactly one year earlier and its value is positive;
-    a base of zero or below sets the flag instead.
+    a base of zero or below sets the flag instead. NaN counts as null.
     """
     history = Window.partitionBy(key).orderBy(year)
-    base = F.when(F.lag(year).over(history) == F.col(year) - 1, F.lag(measure).over(history))
+    base = F.when(F.lag(year).over(history) == F.col(year) - 1, F.lag(number(df, measure)).over(history))
     return df.withColumn("_base", base).withColumns(
         {
             f"{measure}_growth": ratio(
-                F.col(measure), F.when(F.col("_base") > 0, F.col("_base"))
+                number(df, measure), F.when(F.col("_base") > 0, F.col("_base"))
             )
             - 1,
             f"{measure}_from_loss": F.coalesce(F.col("_base") <= 0, F.lit(False)),
@@ -40,9 +40,11 @@ def growth(df: DataFrame, key: str, year: str, measure: str) -> DataFrame:
 def leaders(df: DataFrame, sector: str, measure: str, n: int = 1) -> DataFrame:
     """Rows with the ``n`` highest places of their sector by ``measure``; ties share a place.
 
+    Null and NaN measures come last.
+
     The filter sits on the rank, so each task sends only its own candidates to the shuffle.
     """
-    place = F.rank().over(Window.partitionBy(sector).orderBy(F.col(measure).desc_nulls_last()))
+    place = F.rank().over(Window.partitionBy(sector).orderBy(number(df, measure).desc_nulls_last()))
     return df.withColumn("place", place).filter(F.col("place") <= n)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DateType, TimestampNTZType, TimestampType
@@ -72,10 +73,21 @@ def in_place(df: DataFrame, col: str, values: list) -> DataFrame:
     return df.filter(F.col(col).isin(*values))
 
 
-def enrich(fact: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
+def unique(dim: DataFrame, on: list[str]) -> DataFrame:
+    """``dim``, which fails when it runs if a key is repeated. Null keys match nothing."""
+    keyed = dim.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]))
+    most = keyed.groupBy(*on).agg(F.count("*").alias("_n")).agg(F.max("_n")).scalar()
+    failure = F.raise_error(F.lit(f"a key of {', '.join(on)} is repeated in the dimension")).cast("boolean")
+    return dim.filter(F.when(most > 1, failure).otherwise(F.lit(True)))
+
+
+def enrich(fact: DataFrame, dim: DataFrame, on: list[str], check: bool = True) -> DataFrame:
     """Add a dimension's attributes to facts, keeping facts that have none.
 
-    The dimension must have one row per key. Spark broadcasts it when its size is below
+    The dimension must have one row per key; a repeated one would double facts, so it is
+    an error when the result is computed. The check counts the dimension's keys alone and
+    leaves the facts and the join as they are; ``check=False`` skips it for a dimension
+    known to be right. Spark broadcasts the dimension when its size is below
     ``spark.sql.autoBroadcastJoinThreshold`` and else shuffles, splitting skewed keys.
     """
-    return fact.join(dim, on, "left")
+    return fact.join(unique(dim, on) if check else dim, on, "left")

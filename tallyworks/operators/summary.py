@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import mean
+from ..functions import known, mean, number
 from .distribution import share_of_total
 
 
@@ -15,12 +15,12 @@ def counts_with_share(df: DataFrame, by: list[str], name: str = "n") -> DataFram
 
 def totals_with_share(df: DataFrame, by: list[str], measure: str) -> DataFrame:
     """Sum of a measure per group and the group's share of the whole sum."""
-    return share_of_total(df.groupBy(*by).agg(F.sum(measure).alias(measure)), measure)
+    return share_of_total(df.groupBy(*by).agg(F.sum(number(df, measure)).alias(measure)), measure)
 
 
 def avg_length(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """Mean of a column per group with the number of values behind it."""
-    return df.groupBy(*by).agg(F.count(col).alias("n"), mean(df, col).alias(f"mean_{col}"))
+    return df.groupBy(*by).agg(F.count(number(df, col)).alias("n"), mean(df, col).alias(f"mean_{col}"))
 
 
 def avg_distinct_per(df: DataFrame, outer: str, inner: str) -> DataFrame:
@@ -32,6 +32,9 @@ def avg_distinct_per(df: DataFrame, outer: str, inner: str) -> DataFrame:
 
 
 def top_k(df: DataFrame, measure: str | Column, k: int, tie: list[str]) -> DataFrame:
-    """The ``k`` rows with the highest measure; ``tie`` columns decide between equals."""
-    column = F.col(measure) if isinstance(measure, str) else measure
+    """The ``k`` rows with the highest measure; ``tie`` columns decide between equals.
+
+    Null and NaN come last.
+    """
+    column = number(df, measure) if isinstance(measure, str) else known(measure)
     return df.orderBy(column.desc_nulls_last(), *tie).limit(k)

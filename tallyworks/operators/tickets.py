@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import day, mean, ratio
+from ..functions import day, mean, number, ratio
 from .distribution import combine, join_on, quantiles
 from .summary import counts_with_share
 
@@ -87,9 +87,9 @@ def activity_by(df: DataFrame, device: str, user: str) -> DataFrame:
 def price_profile(df: DataFrame, by: list[str], price: str, exact: bool = True) -> DataFrame:
     """Level and spread of prices: count, mean, deviation, median and quartiles."""
     levels = df.groupBy(*by).agg(
-        F.count(price).alias("n"),
+        F.count(number(df, price)).alias("n"),
         mean(df, price).alias("mean_price"),
-        F.stddev_samp(F.col(price).cast("double")).alias("stddev_price"),
+        F.stddev_samp(number(df, price).cast("double")).alias("stddev_price"),
     )
     spread = quantiles(
         df, by, {"price": price}, {"_q1": 0.25, "_median": 0.5, "_q3": 0.75}, exact=exact

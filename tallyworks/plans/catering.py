@@ -5,13 +5,14 @@ from __future__ import annotations
 from ..operators.catering import (
     check_and_rating,
     rank_niches,
+    rank_relation,
     rating_by_check,
     relation,
     structure,
 )
 from ..sources import materialise
 from .inputs import establishments, with_checks
-from .tables import plain
+from .tables import plain, sql_student_tail
 
 
 def _written(spark, d):
@@ -49,12 +50,19 @@ def catering_niches(spark, d):
     )
 
 
+def catering_rank_relation(spark, d):
+    """Whether dearer places are rated higher, by ranks."""
+    found = rank_relation(with_checks(spark, d), "avg_check", "rating", ["niche"])
+    return plain(found, {"rho": 6, "t": 6, "p_value": 6})
+
+
 QUERIES = {
     "catering_structure": catering_structure,
     "catering_check": catering_check,
     "catering_relation": catering_relation,
     "catering_rating_by_check": catering_rating_by_check,
     "catering_niches": catering_niches,
+    "catering_rank_relation": catering_rank_relation,
 }
 
 _PLACES = """
@@ -69,6 +77,19 @@ establishment AS (
 """
 
 SQL = {
+    "catering_rank_relation": f"""WITH {_PLACES}, complete AS (
+  SELECT niche, avg_check, rating FROM establishment WHERE avg_check IS NOT NULL AND rating IS NOT NULL),
+ranked AS (
+  SELECT niche,
+         rank() OVER (PARTITION BY niche ORDER BY avg_check)
+           + (count(*) OVER (PARTITION BY niche, avg_check) - 1) / 2e0 AS rx,
+         rank() OVER (PARTITION BY niche ORDER BY rating)
+           + (count(*) OVER (PARTITION BY niche, rating) - 1) / 2e0 AS ry
+  FROM complete),
+related AS (SELECT niche, count(*) AS n, corr(rx, ry) AS rho FROM ranked GROUP BY niche),
+tested AS (SELECT *, rho * sqrt(n - 2) / sqrt(1 - rho * rho) AS t_value, n - 2 AS freedom FROM related)
+SELECT niche, n, round(rho, 6) AS rho, round(t_value, 6) AS t, round(p, 6) AS p_value, p <= 0.05 AS significant
+FROM (SELECT *, {sql_student_tail("t_value", "freedom")} AS p FROM tested)""",
     "catering_structure": f"""WITH {_PLACES}
 SELECT niche, district, count(*) AS n, count(*) / sum(count(*)) OVER () AS share
 FROM establishment GROUP BY niche, district""",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.charts import boxplot, dashboard, histogram, scatter_bins, scatter_sample, series
+from ..operators.distribution import join_on
 from .inputs import places
-from .tables import money, plain, table
+from .tables import money, plain, sql_hash32, table
 
 
 def chart_histogram(spark, d):
@@ -67,6 +68,38 @@ def dash_metrics(spark, d):
     )
 
 
+def _dashboard_events(spark, d):
+    bought = F.col("event_type") == "purchase"
+    events = table(spark, d, "events").select(
+        F.col("ts").cast("date").alias("day"), "event_type", (F.col("user_id") % 2).alias("grp"), "user_id",
+        "event_id", money("value").alias("amount"),
+    )
+    sums = {"value": F.col("amount"), "purchases": F.when(bought, 1).otherwise(0)}
+    return events, ["day", "event_type", "grp"], sums, {"users": F.col("user_id"), "actions": F.col("event_id")}
+
+
+def dash_sketch(spark, d):
+    """Distinct metrics of all subtotals from one pass and stored sketches."""
+    return plain(dashboard(*_dashboard_events(spark, d)[:3], distinct=_dashboard_events(spark, d)[3], exact=False))
+
+
+def dash_sketch_bound(spark, d):
+    """The same with exact counts, and whether each estimate lies within five percent and one."""
+    events, dims, sums, distinct = _dashboard_events(spark, d)
+    exact = dashboard(events, dims, sums, distinct=distinct)
+    near = dashboard(events, dims, sums, distinct=distinct, exact=False)
+    keys = [*dims, "level"]
+    both = join_on(exact, near.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("n", "value", *distinct)]), keys)
+    bound = lambda c: F.abs(F.col(f"_{c}") - F.col(c)) <= 0.05 * F.col(c) + 1
+    same = F.col("n").eqNullSafe(F.col("_n")) & F.col("value").eqNullSafe(F.col("_value"))
+    return plain(
+        both.select(
+            *keys, "n", "value", "purchases", *distinct, same.alias("sums_equal"),
+            *[bound(c).alias(f"{c}_within_bound") for c in distinct],
+        )
+    )
+
+
 QUERIES = {
     "chart_histogram": chart_histogram,
     "chart_histogram_by_type": chart_histogram_by_type,
@@ -76,6 +109,8 @@ QUERIES = {
     "chart_series": chart_series,
     "dash_cube": dash_cube,
     "dash_metrics": dash_metrics,
+    "dash_sketch": dash_sketch,
+    "dash_sketch_bound": dash_sketch_bound,
 }
 
 _BINNED = "greatest(least(floor(value * 20 / 200), 19), 0)::BIGINT"
@@ -115,10 +150,10 @@ SELECT greatest(least(floor((l_quantity - xl) * 10 / (xh - xl)), 9), 0)::BIGINT
        greatest(least(floor((l_extendedprice - yl) * 10 / (yh - yl)), 9), 0)::BIGINT AS y_bin,
        count(*) AS n
 FROM lineitem, bounds GROUP BY 1, 2""",
-    "chart_scatter_sample": """
+    "chart_scatter_sample": f"""
 SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_quantity, l_extendedprice
 FROM lineitem
-ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey)), l_orderkey, l_linenumber,
+ORDER BY {sql_hash32("l_orderkey", "l_linenumber", "l_partkey")}, l_orderkey, l_linenumber,
          l_partkey, l_quantity, l_extendedprice
 LIMIT 1000""",
     "dash_metrics": """
@@ -133,6 +168,16 @@ metrics AS (
   FROM facts GROUP BY CUBE (day, grp))
 SELECT *, round(buyers / nullif(users, 0), 6) AS cr, round(value / nullif(orders, 0), 6) AS aov
 FROM metrics""",
+    "dash_sketch_bound": """
+WITH facts AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, user_id % 2 AS grp, user_id, event_id,
+         value::DECIMAL(12,2) AS amount
+  FROM events)
+SELECT day, event_type, grp, grouping(day, event_type, grp)::BIGINT AS level, count(*) AS n,
+       sum(amount)::DOUBLE AS value, count(*) FILTER (event_type = 'purchase') AS purchases,
+       count(DISTINCT user_id) AS users, count(DISTINCT event_id) AS actions, true AS sums_equal,
+       true AS users_within_bound, true AS actions_within_bound
+FROM facts GROUP BY CUBE (day, event_type, grp)""",
     "chart_series": """
 WITH sums AS (
   SELECT event_type, sum(value::DECIMAL(12,2))::DOUBLE AS value FROM events GROUP BY event_type)

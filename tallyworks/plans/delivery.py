@@ -14,12 +14,17 @@ from ..operators.delivery import (
     restaurant_ltv,
     retention,
 )
+from ..operators.activity import activity, retention_all, rolling_users
 from ..operators.scope import in_period
 from ..operators.summary import top_k
 from .inputs import dated_orders, deliveries
 from .tables import plain, table
 
 
+DAYS = ("2024-01-01", "2024-01-31")
+YEARS = ("1995-01-01", "1998-12-31")
+
+
 def _events(spark, d):
     return in_period(table(spark, d, "events"), "ts", "2024-01-10", "2024-01-20")
 
@@ -77,6 +82,24 @@ def food_retention_day(spark, d):
     return plain(retention(table(spark, d, "events"), "user_id", "ts", "day"))
 
 
+def food_retention_30(spark, d):
+    """Retention after 1 to 30 days from one table of activity bitmaps."""
+    seen = activity(table(spark, d, "events"), "user_id", "ts", *DAYS)
+    return plain(retention_all(seen, *DAYS, 30))
+
+
+def food_retention_months(spark, d):
+    """Retention after 1 to 24 months of customers of the years 1995 to 1998."""
+    seen = activity(table(spark, d, "orders"), "o_custkey", "o_orderdate", *YEARS, "month")
+    return plain(retention_all(seen, *YEARS, 24, "month"))
+
+
+def food_rolling(spark, d):
+    """Users active on each day, in the 7 and in the 28 days up to it."""
+    seen = activity(table(spark, d, "events"), "user_id", "ts", *DAYS)
+    return plain(rolling_users(seen, *DAYS, [1, 7, 28]))
+
+
 QUERIES = {
     "food_dau": food_dau,
     "food_dau_sketch": food_dau_sketch,
@@ -89,6 +112,9 @@ QUERIES = {
     "food_repeat_rate": food_repeat_rate,
     "food_retention": food_retention,
     "food_retention_day": food_retention_day,
+    "food_retention_30": food_retention_30,
+    "food_retention_months": food_retention_months,
+    "food_rolling": food_rolling,
 }
 
 _EVENTS = """
@@ -123,7 +149,36 @@ SELECT strftime(cohort, '%Y-%m-%d') AS cohort, age::BIGINT AS age, users, cohort
 FROM counts JOIN sizes USING (cohort)"""
 
 
+def _retention_grid(source: str, user: str, index: str, cohort: str, periods: int, ages: int) -> str:
+    return f"""
+WITH active AS (SELECT DISTINCT {user} AS u, {index} AS i_at FROM {source}),
+aged AS (SELECT u, i_at, min(i_at) OVER (PARTITION BY u) AS start FROM active),
+sizes AS (SELECT start, count(*) AS cohort_size FROM aged WHERE i_at = start GROUP BY start),
+counts AS (SELECT start, i_at - start AS age, count(*) AS users FROM aged GROUP BY 1, 2)
+SELECT {cohort} AS cohort, r.age, coalesce(users, 0) AS users, cohort_size,
+       coalesce(users, 0) / cohort_size AS retention
+FROM sizes s JOIN range(0, {ages + 1}) AS r(age) ON s.start + r.age < {periods}
+LEFT JOIN counts c ON c.start = s.start AND c.age = r.age"""
+
+
 SQL = {
+    "food_retention_30": _retention_grid(
+        "events WHERE ts < TIMESTAMP '2024-02-01'", "user_id", "ts::DATE - DATE '2024-01-01'",
+        "strftime(DATE '2024-01-01' + s.start::INT, '%Y-%m-%d')", 31, 30,
+    ),
+    "food_retention_months": _retention_grid(
+        "orders WHERE o_orderdate < TIMESTAMP '1999-01-01'", "o_custkey",
+        "(year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1",
+        "strftime(DATE '1995-01-01' + to_months(s.start::INT), '%Y-%m-%d')", 48, 24,
+    ),
+    "food_rolling": """
+WITH days AS (SELECT DATE '2024-01-01' + k::INT AS day FROM range(0, 31) AS r(k)),
+seen AS (SELECT DISTINCT user_id, ts::DATE AS i_at FROM events),
+counted AS (
+  SELECT day, count(DISTINCT user_id) FILTER (i_at = day) AS users_1,
+         count(DISTINCT user_id) FILTER (i_at > day - 7) AS users_7, count(DISTINCT user_id) AS users_28
+  FROM days LEFT JOIN seen ON i_at <= day AND i_at > day - 28 GROUP BY day)
+SELECT strftime(day, '%Y-%m-%d') AS period, users_1, users_7, users_28 FROM counted""",
     "food_dau": f"""WITH {_EVENTS}
 SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS dau FROM seen GROUP BY 1""",
     "food_dau_bound": f"""WITH {_EVENTS}

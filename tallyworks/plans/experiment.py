@@ -6,6 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
+from ..operators.bootstrap import bootstrap_ratio, poisson_thresholds
 from ..operators.experiment import (
     duration,
     group_counts,
@@ -17,7 +18,7 @@ from ..operators.experiment import (
     two_proportion_z,
 )
 from .inputs import session_table
-from .tables import plain, sql_p_value, table
+from .tables import plain, sql_hash32, sql_p_value, table
 from .tickets import sql_welch
 
 MDE = 0.03
@@ -78,6 +79,17 @@ def ab_overlap(spark, d):
     return plain(overlap(events, "grp", "user_id"))
 
 
+REPLICATES = 200
+
+
+def ab_bootstrap(spark, d):
+    """Difference of purchases per session with an interval that draws whole users."""
+    found = bootstrap_ratio(
+        session_table(spark, d), "grp", "user_id", "purchases", "actions", 0, 1, replicates=REPLICATES
+    )
+    return plain(found, {"difference": 9, "low": 9, "high": 9, "std_error": 9})
+
+
 QUERIES = {
     "ab_sample_size": ab_sample_size,
     "ab_duration": ab_duration,
@@ -89,6 +101,7 @@ QUERIES = {
     "ab_sessions_per_user": ab_sessions_per_user,
     "ab_srm": ab_srm,
     "ab_overlap": ab_overlap,
+    "ab_bootstrap": ab_bootstrap,
 }
 
 _SESSIONS = """
@@ -132,7 +145,28 @@ SELECT n_a, s_a AS successes_a, n_b, s_b AS successes_b, s_a / n_a AS share_a, s
        round({sql_p_value("z_value")}, 6) AS p_value
 FROM tested"""
 
+_WEIGHT = " + ".join(f"(h >= {t})::INT" for t in poisson_thresholds())
+
 SQL = {
+    "ab_bootstrap": f"""
+WITH units AS (
+  SELECT user_id % 2 AS g, user_id, count(*) FILTER (event_type = 'purchase') AS x, count(*) AS y
+  FROM events GROUP BY user_id),
+hashed AS (
+  SELECT g, x, y, r, {sql_hash32("user_id", "r", seed=1)} AS h FROM units, range(0, {REPLICATES + 1}) AS t(r)),
+drawn AS (SELECT g, x, y, r, CASE WHEN r = 0 THEN 1 ELSE {_WEIGHT} END AS w FROM hashed),
+each AS (
+  SELECT r, (sum(w * x) FILTER (g = 1))::DOUBLE / (sum(w * y) FILTER (g = 1))::DOUBLE
+         - (sum(w * x) FILTER (g = 0))::DOUBLE / (sum(w * y) FILTER (g = 0))::DOUBLE AS d
+  FROM drawn GROUP BY r),
+ends AS (
+  SELECT max(d) FILTER (r = 0) AS difference, quantile_cont(d, 0.025) FILTER (r > 0) AS low,
+         quantile_cont(d, 0.975) FILTER (r > 0) AS high, stddev_samp(d) FILTER (r > 0) AS std_error,
+         count(d) FILTER (r > 0) AS replicates
+  FROM each)
+SELECT round(difference, 9) AS difference, round(low, 9) AS low, round(high, 9) AS high,
+       round(std_error, 9) AS std_error, replicates, low > 0 OR high < 0 AS significant
+FROM ends""",
     "ab_sample_size": f"WITH {_SESSIONS}, {_NEEDED} SELECT * FROM needed",
     "ab_duration": f"""WITH {_SESSIONS}, {_NEEDED}, traffic AS (
   SELECT count(DISTINCT user_id) AS users, max(ts::DATE) - min(ts::DATE) + 1 AS observed_days

@@ -13,6 +13,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
+from ..functions.columns import HASH_ROUNDS
 from ..sources import load
 
 SCHEMAS = {
@@ -79,3 +80,26 @@ def sql_p_value(z: str) -> str:
         f" + (2 * n + 1) * ln({x}) - {x} * {x})) * 2 / sqrt(pi())"
         f" FROM (SELECT i::DOUBLE AS n FROM range(0, 200) AS r(i)))"
     )
+
+
+def sql_student_tail(t: str, freedom: str) -> str:
+    """Two-sided tail of Student's t in SQL: one less the incomplete beta function at the
+    other end, by its series of positive terms."""
+    x, b = f"({t} * {t} / ({freedom} + {t} * {t}))", f"({freedom} / 2e0)"
+    return (
+        f"(SELECT 1 - sum(exp((n + 5e-1) * ln({x}) + {b} * ln(1 - {x})"
+        f" + lgamma({b} + 5e-1 + n) - lgamma({b}) - lgamma(15e-1 + n)))"
+        f" FROM (SELECT i::DOUBLE AS n FROM range(0, 600) AS r(i)))"
+    )
+
+
+def sql_hash32(*parts: str, seed: int = 0) -> str:
+    """The integer hash of ``functions.hash32`` for numbers from 0 to 2^32 - 1."""
+    h = f"{seed}::BIGINT"
+    for part in parts:
+        x = f"xor({h}, {part}::BIGINT)"
+        for factor, shift in HASH_ROUNDS:
+            x = f"(({x} * {factor}) & 4294967295)"
+            x = f"xor({x}, {x} >> {shift})"
+        h = x
+    return h

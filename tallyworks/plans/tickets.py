@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.distribution import attach
 from ..operators.experiment import exclusive, mann_whitney, overlap, welch
 from ..operators.tickets import (
     activity_by,
@@ -13,8 +14,10 @@ from ..operators.tickets import (
     seasonality,
     share_change,
 )
+from ..operators.stored import audience_overlap, audience_state, quantiles_of, value_state
+from ..sources import materialise
 from .inputs import devices
-from .tables import money, plain, sql_p_value, table
+from .tables import money, plain, sql_p_value, sql_student_tail, table
 
 
 def ticket_seasonality(spark, d):
@@ -78,6 +81,63 @@ def ticket_device_mwu(spark, d):
     return plain(tested, {"z": 6, "p_value": 6})
 
 
+PROBS = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+
+
+def ticket_price_stored(spark, d):
+    """Weekly price quartiles of each event type from daily sketches."""
+    states = materialise(value_state(table(spark, d, "events"), ["event_type"], "ts", "value"))
+    return plain(quantiles_of(states, ["event_type"], PROBS, "week"))
+
+
+def ticket_price_stored_bound(spark, d):
+    """Whether the weekly quartiles from daily sketches lie within 2 % of the ranks asked for."""
+    events = table(spark, d, "events").select("event_type", "ts", "value")
+    states = materialise(value_state(events, ["event_type"], "ts", "value"))
+    found = quantiles_of(states, ["event_type"], PROBS, "week")
+    keyed = events.withColumn("period", period_start("ts", "week"))
+    rows = attach(keyed, found, ["event_type", "period"])
+    below = {q: F.count_if(F.col("value") < F.col(q)) for q in PROBS}
+    upto = {q: F.count_if(F.col("value") <= F.col(q)) for q in PROBS}
+    near = lambda q, p: (below[q] <= (p + 0.02) * F.count("*")) & (upto[q] >= (p - 0.02) * F.count("*"))
+    return plain(
+        rows.groupBy("event_type", "period").agg(
+            F.max("n").alias("n"), F.max("least").alias("least"), F.max("greatest").alias("greatest"),
+            *[near(q, p).alias(f"{q}_within_bound") for q, p in PROBS.items()],
+        )
+    )
+
+
+_COUNTS = ["users_a", "users_b", "both", "only_a", "only_b", "either"]
+
+
+def _audience(spark, d):
+    states = materialise(audience_state(devices(spark, d), ["device"], "ts", "user_id"))
+    return audience_overlap(states, "device", [("mobile", "desktop")])
+
+
+def ticket_audience(spark, d):
+    """Users of both devices from stored daily sketches."""
+    return plain(_audience(spark, d))
+
+
+def ticket_audience_bound(spark, d):
+    """The same with exact counts, and whether each estimate lies within five percent of
+    all users."""
+    seen = devices(spark, d).groupBy("user_id").agg(
+        F.max(F.col("device") == "mobile").alias("x"), F.max(F.col("device") == "desktop").alias("y")
+    )
+    x, y = F.col("x"), F.col("y")
+    exact = seen.agg(
+        F.count_if(x).alias("users_a"), F.count_if(y).alias("users_b"), F.count_if(x & y).alias("both"),
+        F.count_if(x & ~y).alias("only_a"), F.count_if(y & ~x).alias("only_b"), F.count_if(x | y).alias("either"),
+    )
+    estimate = _audience(spark, d).select(F.struct(*_COUNTS))
+    both = exact.withColumn("_e", estimate.scalar())
+    near = lambda c: F.abs(F.col(f"_e.{c}") - F.col(c)) <= 0.05 * F.col("either")
+    return plain(both.select(*_COUNTS, *[near(c).alias(f"{c}_within_bound") for c in _COUNTS]))
+
+
 QUERIES = {
     "ticket_seasonality": ticket_seasonality,
     "ticket_seasonality_week": ticket_seasonality_week,
@@ -90,6 +150,10 @@ QUERIES = {
     "ticket_device_overlap": ticket_device_overlap,
     "ticket_device_welch": ticket_device_welch,
     "ticket_device_mwu": ticket_device_mwu,
+    "ticket_price_stored": ticket_price_stored,
+    "ticket_price_stored_bound": ticket_price_stored_bound,
+    "ticket_audience": ticket_audience,
+    "ticket_audience_bound": ticket_audience_bound,
 }
 
 _DEVICES = """
@@ -119,12 +183,24 @@ tested AS (
   FROM moments)
 SELECT n_a, round(m_a, 6) AS mean_a, round(v_a, 6) AS var_a, n_b, round(m_b, 6) AS mean_b,
        round(v_b, 6) AS var_b, round(m_b - m_a, 6) AS difference, round(t_value, 6) AS t,
-       round(freedom, 6) AS df, abs(t_value) >= 1.959963984540054 AS significant,
-       round({sql_p_value("t_value")}, 6) AS p_value
-FROM tested"""
+       round(freedom, 6) AS df, p <= 0.05 AS significant, round(p, 6) AS p_value
+FROM (SELECT *, {sql_student_tail("t_value", "freedom")} AS p FROM tested)"""
 
 
 SQL = {
+    "ticket_price_stored_bound": """
+SELECT event_type, strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, count(value) AS n,
+       min(value) AS least, max(value) AS greatest, true AS q1_within_bound,
+       true AS q2_within_bound, true AS q3_within_bound
+FROM events GROUP BY event_type, date_trunc('week', ts)""",
+    "ticket_audience_bound": f"""WITH {_DEVICES}, seen AS (
+  SELECT user_id, bool_or(device = 'mobile') AS x, bool_or(device = 'desktop') AS y
+  FROM device_events GROUP BY user_id)
+SELECT count(*) FILTER (x) AS users_a, count(*) FILTER (y) AS users_b, count(*) FILTER (x AND y) AS "both",
+       count(*) FILTER (x AND NOT y) AS only_a, count(*) FILTER (y AND NOT x) AS only_b, count(*) AS either,
+       true AS users_a_within_bound, true AS users_b_within_bound, true AS both_within_bound,
+       true AS only_a_within_bound, true AS only_b_within_bound, true AS either_within_bound
+FROM seen""",
     "ticket_seasonality": """
 SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS period, count(*) AS n,
        count(DISTINCT o_custkey) AS users

@@ -8,25 +8,13 @@ from pyspark.sql import functions as F
 
 from tallyworks.operators import distribution, experiment, prepare, rating, scope
 from tallyworks.plans import all_queries, inputs
+from tests_support import final_plan
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = all_queries()
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
-def final_plan(df):
-    """The executed plan without the initial versions that adaptive execution prints too."""
-    df.collect()
-    kept, skip = [], None
-    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
-        column = len(line) - len(line.lstrip(" :"))
-        if skip is not None and column > skip:
-            continue
-        skip = column if "== Initial Plan ==" in line else None
-        if skip is None:
-            kept.append(line)
-    return "\n".join(kept)
-
 def scans(plan):
     return len(re.findall(r"FileScan|Scan ExistingRDD|Range \(", plan))
 

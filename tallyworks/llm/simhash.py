@@ -153,12 +153,14 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
     """Links ``a``, ``b`` between distinct fingerprints ``node`` that connect all linked ones."""
     if distance > 3:
         raise ValueError("two segments with one wildcard find up to three differing bits")
-    keyed = nodes.select(F.explode(variants(F.col("node"))).alias("key"), "node")
+    # Counted, verified and joined from one exchange. A node has 64 keys, so no key has more
+    # than a 64th of these rows. The filter is stated so that none is inferred by branch.
+    keyed = nodes.select(F.explode(variants(F.col("node"))).alias("key"), "node").filter("key is not null")
+    keyed = keyed.repartition("key")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
-    shared = materialise(sizes.filter("n > 1"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = shared.filter("n = 2").filter(apart <= distance).select("a", "b")
-    large = shared.filter("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    pairs = sizes.filter("n = 2").filter(apart <= distance).select("a", "b")
+    large = sizes.filter("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rows = keyed.join(large, "key")
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     rows = rows.withColumn("own", own)
@@ -232,7 +234,11 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     best = found.groupBy("root").agg(first).select(
         F.col("_first.doc_id").alias("_id"), F.col("_first.text_hash").alias("_hash")
     )
-    mark = fresh([*docs.columns, "_id", "_hash"], "_mark")
-    rows = docs.withColumn(mark, F.xxhash64("text"))
-    rows = rows.join(best, (F.col(mark) == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", mark]).drop(mark)
+    best = best.select(F.col("_hash"), F.xxhash64("_id").alias("_named"))
+    # Two keys that are never null. Equal rows are combined before the one exchange of the
+    # texts, and the join finds them dealt by its own keys.
+    taken = [*docs.columns, "_hash", "_named"]
+    mark, name = fresh(taken, "_mark"), fresh(taken, "_name")
+    rows = docs.withColumns({mark: F.xxhash64("text"), name: F.xxhash64("doc_id")}).dropDuplicates([mark, name])
+    same = (F.col(mark) == F.col("_hash")) & (F.col(name) == F.col("_named"))
+    return rows.join(best, same, "left_semi").drop(mark, name)

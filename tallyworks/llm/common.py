@@ -14,6 +14,9 @@ GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 
 
+# Bits of a bitmap.
+SLOTS = 1 << 24
+
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -94,3 +97,19 @@ def number_rows(df: DataFrame, order: list[str], into: str, extra: int = 0) -> D
         .withColumn(into, F.col("_before") + inside)
         .drop("_spot", "_part", "_before")
     )
+
+
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """The hashes ``h`` as ``SLOTS`` bits in one row: an array of 64-bit words."""
+    slot = F.pmod("h", F.lit(SLOTS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    set_bits = hashes.select(F.floor(slot / 64).cast("int").alias("word"), bit.alias("bits"))
+    every = hashes.sparkSession.range(SLOTS // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = set_bits.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return materialise(words.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select("w.bits"))
+
+
+def holds(bits: Column, h: Column) -> Column:
+    """Whether the bit of a hash is set in the words of a bitmap."""
+    slot = F.pmod(h, F.lit(SLOTS))
+    return F.bit_get(F.get(bits, F.floor(slot / 64).cast("int")), (slot % 64).cast("int")) == 1

@@ -1,13 +1,17 @@
 """Personal data and the terms that give it away, in DataFrame functions only.
 
 Four kinds of identifiers are found by pattern. Each distinct identifier is a protected
-entity. Terms of the texts that hold it are weighed by what the corpus says about them: the
-pointwise mutual information of term and entity over distinct texts, relative to the
-information content of the entity. At 1 the term occurs nowhere but in texts of the entity
-and reveals it as fully as its own value does; terms above one threshold are generalised to
-a placeholder, above a higher one removed, wherever they occur as whole terms in any text.
-Pairs seen in fewer texts than the support are left alone, since one text alone is no
-evidence of co-occurrence.
+entity. A term tells as much about an entity as the chance that a text with the term is one
+of the entity's: ``-log2`` of that chance is the uncertainty about the entity that is left
+when the term is known. The chance is estimated from the distinct texts of the corpus that
+hold the term, by a lower confidence bound, so that one text alone proves nothing and the
+same counts mean the same in a corpus of any size. Terms that leave at most one bit
+(a chance of ``GENERALISE``) are generalised to a placeholder, those that leave at most a
+third of one (``REMOVE``) removed, wherever they occur as whole terms in any text.
+
+Equal texts count once. Which texts are repeated, which terms are in question and which
+texts hold a disclosing one are told by bitmaps of fixed size, so most rows are counted on
+the map side and most texts are never shuffled. A false hit costs work, never a result.
 """
 
 from __future__ import annotations
@@ -18,16 +22,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.distribution import join_on
 
-from .common import aside, let, materialise, text_of
+from .common import aside, bitmap, holds, let, materialise, text_of
 
 # In the order of ties.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 PLACEHOLDER = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
-# Letters of the shortest term.
-SHORTEST = 3
-SUPPORT = 3
-GENERALISE = 0.7
-REMOVE = 0.9
+GENERALISE = 0.5
+REMOVE = 0.8
+# Normal quantile of the bound's one-sided certainty, 90 %.
+CERTAIN = 1.2815515655446004
 
 LOCAL = "[A-Za-z0-9._%+-]"
 LABEL = "[A-Za-z0-9-]"
@@ -45,7 +48,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 # Stands for the code points of identifiers, so that no term touches one.
 BLANK = "\ue000"
-TERM = rf"(?<![\p{{L}}{BLANK}])\p{{L}}{{{SHORTEST},}}+(?!{BLANK})"
+LETTER = r"\p{L}\p{N}"
+TERM = rf"(?<![{LETTER}{BLANK}])[{LETTER}]++(?!{BLANK})"
 
 STEP = 128
 
@@ -184,8 +188,8 @@ def terms(text: Column, spans: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The distinct whole terms of a text in lower case, those in identifiers too."""
-    long = F.filter(F.split(text, r"[^\p{L}]+"), lambda w: F.length(w) >= SHORTEST)
-    return F.array_distinct(F.transform(long, lambda w: F.lower(w)))
+    found = F.filter(F.split(text, rf"[^{LETTER}]+"), lambda w: w != "")
+    return F.array_distinct(F.transform(found, lambda w: F.lower(w)))
 
 
 def term_spans(text: Column, spans: Column, kinds: Column) -> Column:
@@ -206,57 +210,84 @@ def content_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("_h"), F.length(text).alias("_n")]
 
 
-def disclosing(docs: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """Per distinct text (``_h``, ``_n``) with terms to sanitise the map ``_kinds`` of them."""
+def lower_bound(k: Column, n: Column, z: float = CERTAIN) -> Column:
+    """Wilson's lower bound of a chance of which ``k`` cases of ``n`` were seen."""
+    k, n = k.cast("double"), n.cast("double")
+    middle = k + z * z / 2
+    spread = z * F.sqrt(k * (n - k) / n + z * z / 4)
+    return (middle - spread) / (n + z * z)
+
+
+def weighed(docs: DataFrame, generalise: float, remove: float) -> DataFrame:
+    """Terms and entities with ``both`` (distinct texts of both), ``texts`` (of the term),
+    ``chance`` and ``kind``, for all pairs that reach ``generalise``."""
     texts = docs.select(text_of().alias("_t")).select("_t", *content_key(F.col("_t")))
     spanned = texts.withColumn("_spans", base_spans(F.col("_t"))).filter(F.size("_spans") > 0)
     entities = F.array_distinct(F.transform("_spans", lambda s: entity(s)))
     # One row for each distinct text that holds an identifier.
     near = spanned.select("_h", "_n", entities.alias("_es"), terms(F.col("_t"), F.col("_spans")).alias("_terms"))
     near = materialise(near.dropDuplicates(["_h", "_n"]))
+    # Fewer texts than this cannot reach the threshold, even if there are no others.
+    least = 1
+    while least / (least + CERTAIN**2) < generalise:
+        least += 1
     held = near.select(F.explode("_es").alias("_e")).groupBy("_e").agg(F.count("*").alias("_with"))
-    held = materialise(held.filter(F.col("_with") >= support))
-    # Pairs only of entities that reach the support.
+    held = materialise(held.filter(F.col("_with") >= least))
     often = near.select("_terms", F.explode("_es").alias("_e")).join(held.select("_e"), "_e", "left_semi")
-    both = often.select("_e", F.explode("_terms").alias("term")).groupBy("_e", "term").agg(F.count("*").alias("_both"))
-    both = materialise(both.filter(F.col("_both") >= support))
-    wanted = materialise(both.select("term").distinct())
-    # Terms of all texts, counted once for each distinct text.
-    words = texts.select("_h", "_n", F.explode(words_of(F.col("_t"))).alias("term"))
-    known = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("_texts"))
-    total = texts.select("_h", "_n").distinct().agg(F.count("*")).scalar().cast("double")
-    weighed = both.join(held, "_e").join(known, "term")
-    information = F.log2(total / F.col("_with"))
-    mutual = F.log2(F.col("_both") * total / (F.col("_with") * F.greatest("_texts", "_both")))
-    ratio = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
-    weighed = weighed.withColumn("_ratio", ratio).filter(F.col("_ratio") >= generalise)
-    kind = F.when(F.col("_ratio") >= remove, F.lit(5)).otherwise(F.lit(4))
-    weighed = materialise(weighed.select("_e", "term", kind.alias("kind")))
+    both = often.select("_e", F.explode("_terms").alias("term")).groupBy("_e", "term").agg(F.count("*").alias("both"))
+    both = materialise(both.filter(F.col("both") >= least))
+    asked = bitmap(both.select(F.xxhash64("term").alias("h")).distinct())
+    repeated = bitmap(texts.groupBy("_h", "_n").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("_h").alias("h")))
+    # A text that is not repeated is counted by its terms alone, a repeated one once.
+    wanted = F.filter(words_of(F.col("_t")), lambda w: holds(F.col("_asked"), F.xxhash64(w)))
+    # From the text itself: a hash used twice would keep the bitmaps as columns.
+    again = holds(F.col("_repeated"), F.xxhash64("_t"))
+    # Each bitmap is used once, so it is put in its place and is no column of a row. The outer
+    # form of explode has no filter inferred that would take the words of each text twice.
+    told = texts.withColumns({"_asked": asked.scalar(), "_repeated": repeated.scalar()})
+    told = told.select("_h", "_n", wanted.alias("_wanted"), again.alias("_again"))
+    only = lambda c: F.when(F.col("_again"), F.col(c)).alias(c)
+    words = told.select(only("_h"), only("_n"), F.explode_outer("_wanted").alias("term")).filter("term IS NOT NULL")
+    seen = words.groupBy("term", "_h", "_n").agg(F.count("*").alias("rows"))
+    known = seen.groupBy("term").agg(F.sum(F.when(F.col("_h").isNull(), F.col("rows")).otherwise(1)).alias("texts"))
+    # Identifiers hold terms too, so a term is in all the texts that it shares with one.
+    pairs = both.join(known, "term").withColumn("texts", F.greatest("texts", "both"))
+    pairs = pairs.withColumn("chance", lower_bound(F.col("both"), F.col("texts"))).filter(F.col("chance") >= generalise)
+    kind = F.when(F.col("chance") >= remove, F.lit(5)).otherwise(F.lit(4))
+    return pairs.withColumn("kind", kind)
+
+
+def disclosing(docs: DataFrame, generalise: float, remove: float) -> DataFrame:
+    """Per distinct text (``_h``, ``_n``) with terms to sanitise the map ``_kinds`` of them."""
     # A term of two entities is treated by the stricter of the two.
-    strict = materialise(weighed.groupBy("term").agg(F.max("kind").alias("kind")))
-    marked = words.join(strict, "term").select("_h", "_n", "term", "kind").distinct()
+    strict = materialise(weighed(docs, generalise, remove).groupBy("term").agg(F.max("kind").alias("kind")))
+    asked = bitmap(strict.select(F.xxhash64("term").alias("h")))
+    texts = docs.select(text_of().alias("_t")).select("_t", *content_key(F.col("_t")))
+    wanted = F.filter(words_of(F.col("_t")), lambda w: holds(F.col("_asked"), F.xxhash64(w)))
+    told = texts.withColumn("_asked", asked.scalar()).select("_h", "_n", wanted.alias("_wanted"))
+    words = told.select("_h", "_n", F.explode_outer("_wanted").alias("term")).filter("term IS NOT NULL").distinct()
     # Terms of one text only, as many as it has.
     kinds = F.map_from_entries(F.collect_list(F.struct("term", "kind")))
-    return materialise(marked.groupBy("_h", "_n").agg(kinds.alias("_kinds")))
+    return materialise(words.join(strict, "term").groupBy("_h", "_n").agg(kinds.alias("_kinds")))
 
 
-def find(
-    docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
-) -> DataFrame:
+def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Add ``_base`` and ``_all``, sorted arrays of spans (start, kind, end, value).
 
     Reads ``text``; null counts as empty. The statistics are over all distinct texts of
-    ``docs``, so repeated rows weigh once and are treated alike. An empty table gives an
-    empty table.
+    ``docs``, so repeated rows weigh once and are treated alike. A term is a run of letters
+    and digits of any length. An empty table gives an empty table.
     """
-    extra = disclosing(docs, support, generalise, remove)
-    keyed = docs.withColumn("_base", base_spans(text_of())).withColumns(
-        {"_h": F.xxhash64(text_of()), "_n": F.length(text_of())}
-    )
-    joined = join_on(keyed, extra, ["_h", "_n"], "left")
+    extra = disclosing(docs, generalise, remove)
+    keyed = docs.withColumns({"_h": F.xxhash64(text_of()), "_n": F.length(text_of())})
+    # Only texts that may hold a disclosing term meet the table of those that do.
+    marked = bitmap(extra.select(F.col("_h").alias("h")))
+    hit = holds(marked.scalar(), F.col("_h"))
+    plain = keyed.filter(~hit).withColumn("_base", base_spans(text_of())).withColumn("_all", F.col("_base"))
+    joined = join_on(keyed.filter(hit), extra, ["_h", "_n"], "left").withColumn("_base", base_spans(text_of()))
     found = F.when(F.col("_kinds").isNull(), none()).otherwise(term_spans(text_of(), F.col("_base"), F.col("_kinds")))
     spans = F.array_sort(F.concat(F.col("_base"), found))
-    return joined.withColumn("_all", spans).drop("_h", "_n", "_kinds")
+    return plain.unionByName(joined.withColumn("_all", spans).drop("_kinds")).drop("_h", "_n")
 
 
 def listed(spans: Column) -> Column:

@@ -1,7 +1,10 @@
 import os
+import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, SHARD int, _h int"
 LONG = "wörd alpha beta gamma delta " * 4000 + "a" * 3000 + " " * 2000 + "7" * 2500

@@ -14,6 +14,7 @@ from xxhash import xxh64_intdigest
 
 from tallyworks.llm import byte_bpe, context_tree, language_id, mixing, pii, quality, queries, sharding, simhash, suffix_dedup
 from tallyworks.llm.common import id_crc
+from tests_llm_support import KINDS, plain_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -310,36 +311,6 @@ def test_mixing(docs, texts):
 
 # Personal data
 
-KINDS = ("email", "ip", "card", "phone")
-PATTERNS = (
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
-    r"[0-9](?:[\x20-]?[0-9])+",
-    r"\+[0-9][\x20().0-9-]+[0-9]",
-)
-
-
-def luhn(digits):
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        n = int(c) * (2 if i % 2 else 1)
-        total += n - 9 if n > 9 else n
-    return total % 10 == 0
-
-
-def plain_spans(text):
-    found = []
-    for k, pattern in enumerate(PATTERNS):
-        for m in re.finditer(pattern, text):
-            digits = re.sub("[^0-9]", "", m[0])
-            if (
-                k == 0 or k == 1 and all(int(p) <= 255 for p in m[0].split("."))
-                or k == 2 and 12 <= len(digits) <= 19 and luhn(digits) or k == 3 and 9 <= len(digits) <= 15
-            ):
-                found.append((m.start(), k, m.end()))
-    return sorted(found)
-
-
 def test_base_spans(docs, texts):
     found = pii.digest(docs).collect()
     expected = []
@@ -374,7 +345,8 @@ def test_disclosing_terms_everywhere(spark):
     for i in range(60, 64):
         assert "zorblat" not in clean[i].lower() and "Quixel" not in clean[i]
         assert clean[i].count("[EMAIL]") == 2 and "é[EMAIL]" in clean[i] and clean[i].count("common filler") == 40
-    assert clean[64] == "a note of  alone, not Zorblatta"
+    # Four of the five texts with the name are the entity's: enough to generalise it.
+    assert clean[64] == "a note of [TERM] alone, not Zorblatta"
 
 
 def test_many_spans_in_one_text(spark):

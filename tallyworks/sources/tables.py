@@ -53,4 +53,14 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     save(df, path)
-    return load(spark, path, df.schema)
+    written = load(spark, path, df.schema)
+    written.written_at = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        files = folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+        files.delete(folder, True)

@@ -23,11 +23,13 @@ DIM = 16
 GRAMS = (2, 3, 4)
 # Rows of the sample, for all languages together, and languages that are told apart.
 SAMPLE = 4000
-LANGUAGES = 500
 EPOCHS = 6
 RATE = 0.5
-# Share of accepted predictions that should be right.
-PRECISION = 0.99
+# Share of accepted predictions that should be right, with so many normal deviations of
+# certainty (95 %), and the part of the sampled texts that is held for calibration.
+PRECISION = 0.97
+CERTAIN = 1.6448536269514722
+HELD = 5
 # Code points handled at once; a longer text is added up part by part.
 PART = 1 << 20
 UNKNOWN = "und"
@@ -88,8 +90,15 @@ class Model:
         return p / p.sum()
 
 
-def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str]) -> Model:
-    """Gradient descent over (language, buckets, counts); every fifth is held for calibration."""
+# Language, buckets, their counts, and a number that follows from the whole text.
+Example = tuple[int, np.ndarray, np.ndarray, int]
+
+
+def fit(examples: list[Example], languages: list[str]) -> Model:
+    """Gradient descent over the examples; those of a fifth of the texts calibrate.
+
+    A text and its pieces, and all copies of a text, are on the same side.
+    """
     rng = np.random.default_rng(SEED)
     n = len(languages)
     model = Model(
@@ -98,13 +107,14 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str]
         np.zeros((DIM, n), dtype=np.float32),
         np.zeros(n, dtype=np.float32),
     )
-    held, used = examples[::5], [x for i, x in enumerate(examples) if i % 5]
+    held = [x for x in examples if x[3] % HELD == 0]
+    used = [x for x in examples if x[3] % HELD]
     if not used:
         held, used = [], examples
     steps, done = EPOCHS * len(used), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(used)):
-            language, at, counts = used[i]
+            language, at, counts, _ = used[i]
             rate = RATE * (1 - done / steps)
             done += 1
             share = (counts / counts.sum()).astype(np.float32)
@@ -122,12 +132,22 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str]
     return model
 
 
-def calibrate(model: Model, held: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
-    """The temperature of least log loss, then the least score that keeps the precision."""
+def lower_bound(hits: np.ndarray, n: np.ndarray, z: float = CERTAIN) -> np.ndarray:
+    """Wilson's lower bound of a share."""
+    return (hits + z * z / 2 - z * np.sqrt(hits * (n - hits) / n + z * z / 4)) / (n + z * z)
+
+
+def calibrate(model: Model, held: list[Example]) -> None:
+    """The temperature of least log loss, then the least score that keeps the precision.
+
+    Scores are tried from the highest down, from the number of predictions on that could
+    show the precision at all; the first failure ends it. Without such a score nothing is
+    accepted.
+    """
     if not held:
         return
     logits = []
-    for _, at, counts in held:
+    for _, at, counts, _ in held:
         mean = (counts / counts.sum()).astype(np.float32) @ model.embedding[at]
         logits.append(mean @ model.weights + model.bias)
     z, right = np.array(logits), np.array([x[0] for x in held])
@@ -144,35 +164,39 @@ def calibrate(model: Model, held: list[tuple[int, np.ndarray, np.ndarray]]) -> N
     p = softmax(model.temperature)
     best, hit = p.max(axis=1), p.argmax(axis=1) == right
     order = np.argsort(-best, kind="stable")
-    precise = np.cumsum(hit[order]) / np.arange(1, len(order) + 1) >= PRECISION
-    if precise.any():
-        model.least = float(best[order][np.flatnonzero(precise)[-1]])
-    else:
-        model.least = 1.0
-
-
-def sample(labelled: DataFrame, lang: str, text: str, salt: Column, rows: int = SAMPLE, languages: int = LANGUAGES) -> list:
-    """Bucket counts of a bounded sample, as (language, buckets, counts).
-
-    The sample takes equally many rows of each language (the ``languages`` most frequent),
-    those of least hash of ``salt``, so it does not depend on partitions. Only bucket
-    counts reach the driver, whose size does not depend on the length of a text: at most
-    ``2 * rows`` lists of at most ``BUCKETS`` entries. Each row gives its whole
-    text and a short piece of it, for short texts.
+    n = np.arange(1, len(order) + 1)
+    precise = lower_bound(np.cumsum(hit[order]), n) >= PRECISION
+    tried = lower_bound(n, n) >= PRECISION
+    kept = int((np.cumprod(precise[tried])).sum())
+    model.least = float(best[order][tried][kept - 1]) if kept else 1.0
+
+
+def sample(labelled: DataFrame, lang: str, text: str, salt: Column, rows: int = SAMPLE) -> tuple[list[str], list[Example]] | None:
+    """The languages and examples of a bounded sample of texts; None without any.
+
+    The sample takes equally many different texts of each language, those of least hash of
+    ``salt`` and text, so it does not depend on partitions or on repeated ids. ``rows``
+    texts have no more than ``rows`` languages; of more the most frequent are told apart.
+    Each text gives its whole and a short piece of it, for short texts. Only bucket counts
+    reach the driver, in flat arrays whose size does not depend on the length of a text:
+    at most ``2 * rows`` lists of at most ``BUCKETS`` entries.
     """
-    counts = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).collect()
+    key = F.xxhash64(F.col(text))
+    known = F.approx_count_distinct(key, 0.02).alias("count")
+    counts = labelled.groupBy(lang).agg(known).orderBy(F.desc("count"), lang).limit(rows).collect()
     if not counts:
-        return []
+        return None
     each = max(1, rows // len(counts))
     # Draws enough by chance, so that no more than these are ranked; six deviations and 20
-    # rows over the quota, so that no language runs short.
-    drawn = each + 6 * each**0.5 + 20
-    chance = F.create_map(*[F.lit(x) for r in counts for x in (r[lang], min(1.0, drawn / r["count"]))])
-    place = F.pmod(F.xxhash64(F.lit("sample"), salt), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # rows over the quota, and the error of the count, so that no language runs short.
+    drawn = 1.1 * (each + 6 * each**0.5 + 20)
+    chance = F.create_map(*[F.lit(x) for r in counts for x in (r[lang], min(1.0, drawn / max(1, r["count"])))])
+    place = F.pmod(F.xxhash64(F.lit("sample"), salt, F.col(text)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     near = labelled.filter(place < F.element_at(chance, F.col(lang)))
-    near = near.select(F.col(lang).alias("l"), F.col(text).alias("t"), place.alias("p"), salt.alias("s"))
-    first = Window.partitionBy("l").orderBy("p", "s", F.xxhash64("t"), "t")
-    least = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= each).select("l", "t", "p")
+    near = near.select(F.col(lang).alias("l"), key.alias("k"), F.length(text).alias("n"), place.alias("p"), F.col(text).alias("t"))
+    near = near.groupBy("l", "k", "n").agg(F.min_by("t", "p").alias("t"), F.min("p").alias("p"))
+    first = Window.partitionBy("l").orderBy("p", "k", "n")
+    least = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= each).select("l", "t", "p", "k")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,23 +208,32 @@ def sample(labelled: DataFrame, lang: str, text: str, salt: Column, rows: int =
                     found = gram_counts(part)
                     if found is not None:
                         some = np.flatnonzero(found)
-                        rows.append({"l": r["l"], "p": r["p"], "at": some.tolist(), "n": found[some].tolist()})
+                        rows.append({"l": r["l"], "p": r["p"], "k": r["k"], "at": some.tolist(), "n": found[some].tolist()})
             yield pa.RecordBatch.from_pylist(
                 rows,
-                pa.schema([("l", pa.string()), ("p", pa.float64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))]),
+                pa.schema([("l", pa.string()), ("p", pa.float64()), ("k", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))]),
             )
 
-    found = least.mapInArrow(count, "l string, p double, at array<int>, n array<long>").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["p"], r["l"], len(r["at"]), r["at"]))
-    number = {r[lang]: i for i, r in enumerate(sorted(counts, key=lambda r: r[lang]))}
-    return [sorted(number), [(number[r["l"]], np.array(r["at"], np.int64), np.array(r["n"], np.float64)) for r in found]]
+    found = least.mapInArrow(count, "l string, p double, k long, at array<int>, n array<long>").toArrow().combine_chunks()
+    if not len(found):
+        return None
+    columns = {c: found.column(c).combine_chunks() for c in ("at", "n")}
+    at, n = (columns[c].flatten().to_numpy() for c in ("at", "n"))
+    ends = np.concatenate(([0], np.cumsum(columns["at"].value_lengths().to_numpy())))
+    label, place_of, text_of_ = (found.column(c).to_pylist() for c in ("l", "p", "k"))
+    size = np.diff(ends)
+    order = sorted(range(len(label)), key=lambda i: (place_of[i], label[i], size[i], text_of_[i]))
+    number = {l: i for i, l in enumerate(sorted(r[lang] for r in counts))}
+    parts = [slice(ends[i], ends[i + 1]) for i in range(len(label))]
+    examples = [(number[label[i]], at[parts[i]].astype(np.int64), n[parts[i]].astype(np.float64), text_of_[i]) for i in order]
+    return sorted(number), examples
 
 
 def train(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text", salt: str = "doc_id") -> Model | None:
     """A model from the rows where ``usable`` holds; None if none has a language and a letter."""
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     drawn = sample(rows, lang, text, F.coalesce(F.col(salt).cast("string"), F.lit("")))
-    if not drawn or not drawn[1]:
+    if not drawn:
         return None
     return fit(drawn[1], drawn[0])
 

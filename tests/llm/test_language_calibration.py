@@ -1,0 +1,73 @@
+"""Language identification: what calibrates is not learned from, copies and ids do not count."""
+
+import math
+import os
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyworks.llm import language_id
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def test_no_text_is_on_both_sides(given):
+    rows = given.filter("lang IS NOT NULL AND text RLIKE '[a-z]'")
+    _, examples = language_id.sample(rows, "lang", "text", F.lit(""))
+    sides = {}
+    for _, at, _, key in examples:
+        sides.setdefault(key, []).append(key % language_id.HELD == 0)
+    assert all(len(set(s)) == 1 for s in sides.values())
+    assert Counter(len(s) for s in sides.values()).most_common(1)[0][0] == 2
+    held = sum(key % language_id.HELD == 0 for key in sides)
+    assert 0.1 < held / len(sides) < 0.35
+
+
+def test_one_id_for_all_rows_draws_every_language(spark, given):
+    table = given.withColumn("doc_id", F.lit(3))
+    model = language_id.train(table, F.lit(True))
+    names, examples = language_id.sample(table.filter("lang IS NOT NULL"), "lang", "text", F.lit("3"), rows=40)
+    assert set(Counter(names[x[0]] for x in examples)) == set(names) == set(model.languages)
+    assert len(names) >= 3
+    found = language_id.predict(given.select("lang", "text"), model).filter("lang IS NOT NULL").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.95 * len(found)
+
+
+def test_copies_are_drawn_once(spark):
+    rows = [(i, "a", "the same words again") for i in range(400)] + [(500 + i, "a", f"other words {i} of it") for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    _, examples = language_id.sample(table, "lang", "text", table.doc_id.cast("string"), rows=60)
+    counts = Counter(key for *_, key in examples)
+    assert len(counts) == 60 and set(counts.values()) == {2}
+
+
+def test_more_languages_than_before(spark):
+    rows = [(i, f"l{i % 700:03}", f"words {i} of {i % 700}") for i in range(1400)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    names, examples = language_id.sample(table, "lang", "text", table.doc_id.cast("string"))
+    assert len(names) == 700 and {x[0] for x in examples} == set(range(700))
+
+
+def model_of(scores):
+    """A model of two languages whose score of an example is given."""
+    model = language_id.Model(["a", "b"], np.zeros((language_id.BUCKETS, 1), np.float32), np.zeros((1, 2), np.float32), np.zeros(2, np.float32))
+    model.weights = np.array([[1.0, -1.0]], dtype=np.float32)
+    model.embedding = np.zeros((len(scores), 1), dtype=np.float32)
+    model.embedding[:, 0] = [0.5 * math.log(s / (1 - s)) for s in scores]
+    return model
+
+
+@pytest.mark.parametrize("n,wrong,accepts", [(60, 0, False), (100, 0, True), (100, 3, False), (1000, 5, True)])
+def test_least_score_needs_evidence(n, wrong, accepts):
+    scores = np.linspace(0.999, 0.6, n)
+    model = model_of(scores)
+    spread = set(np.linspace(n // 2, n - 1, wrong, dtype=int).tolist()) if wrong else set()
+    held = [(int(i in spread), np.array([i]), np.array([1.0]), 0) for i in range(n)]
+    language_id.calibrate(model, held)
+    assert (model.least < 1.0) == accepts
+    if not wrong and accepts:
+        # Without a wrong one all are accepted: the least score is that of the last, 0.6
+        # before the temperature.
+        assert model.least == pytest.approx(1 / (1 + (0.4 / 0.6) ** (1 / model.temperature)), abs=1e-5)

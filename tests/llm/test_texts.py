@@ -476,7 +476,7 @@ def test_sample_is_bounded_by_hash(spark):
         names, drawn = language_id.sample(dealt, "lang", "text", dealt.doc_id.cast("string"), rows=80)
         assert names == [f"l{k}" for k in range(8)]
         assert Counter(x[0] for x in drawn) == {k: 20 for k in range(8)}  # two of each document
-        found.append([(k, at.tolist(), n.tolist()) for k, at, n in drawn])
+        found.append([(k, at.tolist(), n.tolist(), text) for k, at, n, text in drawn])
     assert found[0] == found[1]
 
 

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources import discard
 from .common import blocks_of, materialise, text_of
 
 LENGTH = 50
@@ -40,11 +41,14 @@ ALL = (1 << (REACH + 1)) - 1
 # No UTF-8 text holds this byte; it stands for "outside the document".
 OUTSIDE = 0xFF
 # Bytes handled at once, slots of a bitmap, anchors and surroundings of a block.
-SLICE = 1 << 21
+SLICE = 1 << 16
 SLOTS = 1 << 27
 ANCHORS = 500_000
-SORTED = 40_000
+SORTED = 4_000
 HOT = 20_000
+# Eight-byte words that hold LENGTH bytes, and zeros after a row.
+WORDS = -(-LENGTH // 8)
+PAD = 64
 LAST = (1 << 63) - 1
 
 BASE = 0x9E3779B97F4A7C15
@@ -275,6 +279,16 @@ def surroundings(several):
     return run
 
 
+def eights(rows: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, rows padded by ``PAD`` zeros."""
+    padded = np.zeros((len(rows), rows.shape[1] + PAD), dtype=np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    flat = padded.ravel().astype(np.uint64)
+    for n_bytes in (1, 2, 4):
+        flat = flat[:-n_bytes] << np.uint64(8 * n_bytes) | flat[n_bytes:]
+    return flat
+
+
 def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and offset (up to ``REACH``) of the suffixes of all rows in lexicographic order.
 
@@ -295,12 +309,9 @@ def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after[direct] = -1
     # Stage one: direct comparison of at least LENGTH bytes, eight at a time.
     own = np.flatnonzero(direct)
-    padded = np.zeros((n, width + 64), dtype=np.uint8)
-    padded[:, :width] = rows
-    flat, place = padded.ravel().astype(np.uint64), row[own] * (width + 64) + offset[own]
-    for n_bytes in (1, 2, 4):  # eight bytes from each place on, as one number
-        flat = flat[:-n_bytes] << np.uint64(8 * n_bytes) | flat[n_bytes:]
-    words = [flat[place + 8 * k] for k in range(-(-LENGTH // 8))]
+    flat = eights(rows)
+    place = row[own] * (width + PAD) + offset[own]
+    words = [flat[place + 8 * k] for k in range(WORDS)]
     own = own[np.lexsort(words[::-1])] if len(own) else own
     own_start = np.searchsorted(byte[own], np.arange(257))
     # Stage two: buckets of first bytes from low to high; a suffix larger than its
@@ -331,16 +342,20 @@ def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[order], offset[order]
 
 
-def common_prefixes(rows: np.ndarray, row: np.ndarray, offset: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+def common_prefixes(rows: np.ndarray, row: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Common prefix, up to ``LENGTH``, of each sorted suffix with the one before it."""
-    out = np.zeros(len(row), dtype=np.int64)
-    span = np.arange(LENGTH)
-    for s in range(1, len(row), step):
-        e = min(len(row), s + step)
-        here = rows[row[s:e, None], offset[s:e, None] + span]
-        before = rows[row[s - 1 : e - 1, None], offset[s - 1 : e - 1, None] + span]
-        differ = here != before
-        out[s:e] = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
+    flat = eights(rows)
+    place = row * (rows.shape[1] + PAD) + offset
+    out = np.full(len(row), LENGTH, dtype=np.int64)
+    out[:1] = 0
+    # Suffixes that agree with the one before in all words so far.
+    open_ = np.arange(1, len(row))
+    for k in range(WORDS):
+        differ = flat[place[open_] + 8 * k] ^ flat[place[open_ - 1] + 8 * k]
+        found = differ != 0
+        leading = sum((differ[found] < np.uint64(1 << (8 * b))).astype(np.int64) for b in range(1, 8))
+        out[open_[found]] = np.minimum(8 * k + leading, LENGTH)
+        open_ = open_[~found]
     return out
 
 
@@ -390,6 +405,7 @@ def repeats(docs: DataFrame, sort_size: int = SORTED, hot: int = HOT) -> DataFra
     context = docs.sparkSession.sparkContext
     slots = materialise(lists.groupBy("block").applyInArrow(merged, "slot long"))
     shared = context.broadcast(bitmap(slots))
+    discard(slots)
     found = materialise(rows.mapInArrow(instances(shared, blocks), "h long, w long, d long, row long, at int"))
     kinds = found.groupBy("h", "w").agg(F.min("d").alias("m"), F.max("d").alias("last"))
     kinds = materialise(kinds)
@@ -397,20 +413,26 @@ def repeats(docs: DataFrame, sort_size: int = SORTED, hot: int = HOT) -> DataFra
     counts = materialise(counts)
     slot = materialise(counts.select("h").mapInArrow(h_slots, "slot long").distinct())
     several = context.broadcast(bitmap(slot))
+    discard(slot)
     text = rows.select("text").mapInArrow(surroundings(several), "h long, w long, bytes binary").distinct()
     sized = kinds.join(counts, "h").select("h", "w", "m", "kinds")
     text = materialise(text.join(sized, ["h", "w"]))
+    discard(counts)
     parts = max(1, -(-text.count() // sort_size))
     block = F.pmod(F.xxhash64("h"), F.lit(parts)).alias("part")
     usual = text.filter(F.col("kinds") <= hot).select("h", "w", "m", "bytes", block)
     sorted_marks = usual.groupBy("part").applyInArrow(sort_block, "h long, w long, marks long")
     marked = materialise(sorted_marks.unionByName(by_value(text.filter(F.col("kinds") > hot))))
+    discard(text)
     useful = kinds.join(marked, ["h", "w"], "left").filter("marks is not null or last > m")
     useful = materialise(useful.select("h", "w", "m", F.coalesce("marks", F.lit(0)).alias("marks")))
+    discard(kinds, marked)
     hit = F.when(F.col("d") > F.col("m"), F.lit(ALL)).otherwise(F.col("marks"))
     hits = found.join(useful, ["h", "w"]).select("row", "at", hit.alias("marks")).filter("marks > 0")
     # The anchors of one row are no more than its bytes.
-    return materialise(hits.distinct().groupBy("row").agg(F.collect_list(F.struct("at", "marks")).alias("found")))
+    told = materialise(hits.distinct().groupBy("row").agg(F.collect_list(F.struct("at", "marks")).alias("found")))
+    discard(found, useful)
+    return told
 
 
 def h_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -181,11 +181,20 @@ class Pieces(dict):
             ids = merge_many([raw for _, _, raw in part], self.ranks, self.table)
             self.update(zip((piece for _, piece, _ in part), ids))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
+    def until(self, text: str, stop: int) -> list[str]:
+        """The matches that end by ``stop``; what follows it is seen by look-ahead only."""
+        out = []
+        for m in self.find.finditer(text):
+            if m.end() > stop:
+                break
+            out.append(m.group())
+        return out
+
+    def encode(self, texts: list[str], stops: list[int] | None = None) -> list[bytes]:
+        """The ids of each text, or of its part up to a stop where a match ends."""
         if len(self) > REMEMBERED:
             self.clear()
-        found = list(map(self.find.findall, texts))
+        found = list(map(self.until, texts, stops) if stops else map(self.find.findall, texts))
         self.learn(set(chain.from_iterable(found)).difference(self))
         return [b"".join(map(self.__getitem__, f)) for f in found]
 
@@ -217,8 +226,13 @@ def groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes) - start
 
 
-def encode_column(df: DataFrame, text: str, into: str, ranks, pattern: str, most: int = AT_ONCE) -> DataFrame:
-    """Replace the column ``text`` by ``into``, the ids of each whole text."""
+def encode_column(
+    df: DataFrame, text: str, into: str, ranks, pattern: str, most: int = AT_ONCE, stop: str | None = None
+) -> DataFrame:
+    """Replace the column ``text`` by ``into``, the ids of each whole text.
+
+    ``stop`` names an integer column, dropped too: only the matches that end by it count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(*ranks.value, pattern)
@@ -227,12 +241,15 @@ def encode_column(df: DataFrame, text: str, into: str, ranks, pattern: str, most
             sizes = pc.binary_length(batch.column(at)).fill_null(0).to_pylist()
             for i, n in groups(sizes, most):
                 part = batch.slice(i, n)
-                ids = pieces.encode([t or "" for t in part.column(at).to_pylist()])
+                stops = part.column(stop).to_pylist() if stop else None
+                ids = pieces.encode([t or "" for t in part.column(at).to_pylist()], stops)
                 ends = np.cumsum([0, *(len(x) // ID.itemsize for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype=ID))
+                if stop:
+                    part = part.drop_columns([stop])
                 yield with_column(part, into, pa.ListArray.from_arrays(pa.array(ends), values), text)
 
-    fields = [f for f in df.schema.fields if f.name != text]
+    fields = [f for f in df.schema.fields if f.name not in (text, stop)]
     return df.mapInArrow(run, StructType(fields).add(into, ArrayType(IntegerType())))
 
 
@@ -285,12 +302,12 @@ def encode_long(texts: DataFrame, ranks, pattern: str, chunk: int, overlap: int)
     # One flag for each text: any chunk that does not meet the one before it.
     broken = F.max(F.col("_start").isNull()).over(Window.partitionBy("_h"))
     seams = seams.withColumn("_broken", broken)
+    # What follows the seam stays in the window, as the last match may look ahead.
     width = F.when(F.col("_next").isNull(), F.length("_t")).otherwise(F.lit(chunk) + F.col("_next"))
     stitched = chunks.join(seams.filter("not _broken"), ["_h", "_k"]).select(
-        "_h", "_k", F.expr("substring(_t, _start + 1)").alias("_t"), width.alias("_stop"), "_start"
+        "_h", "_k", F.expr("substring(_t, _start + 1)").alias("_t"), (width - F.col("_start")).cast("int").alias("_stop")
     )
-    stitched = stitched.select("_h", "_k", F.col("_t").substr(F.lit(1), F.col("_stop") - F.col("_start")).alias("_t"))
-    parts = encode_column(stitched, "_t", "_ids", ranks, pattern)
+    parts = encode_column(stitched, "_t", "_ids", ranks, pattern, stop="_stop")
     joined = parts.groupBy("_h").agg(F.array_sort(F.collect_list(F.struct("_k", "_ids"))).alias("_parts"))
     joined = joined.select("_h", F.flatten(F.col("_parts")["_ids"]).alias("_ids"))
     whole = texts.join(seams.filter("_broken").select("_h").distinct(), "_h")

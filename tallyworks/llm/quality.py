@@ -1,15 +1,20 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-A rule rejects documents whose feature exceeds a cutoff. Labelled documents tell, for each
-stratum (language) and rule, which cutoffs are safe: the number of good documents that a
-cutoff would reject is held against the exact binomial distribution, and a cutoff is
-certified if so few would be seen with probability ``delta`` or less were the true rate
-above ``alpha``. ``alpha`` is shared among the rules, so all rules together reject at
-most that part of a stratum's good documents. ``delta`` is shared among strata and rules
-(Bonferroni); the cutoffs of one rule are tested from the most lenient on and testing
-ends with the first failure (fixed sequence), which needs no further correction. Of the
-certified cutoffs the one that rejects most bad documents is used, the most lenient among
-equals. A stratum with too few labels for any certificate rejects nothing by these rules.
+A rule rejects documents whose feature exceeds a cutoff. The rules are tightened one after
+the other along one path of levels, each from lenient to strict down to its own floor; the
+path is fixed beforehand. Labelled documents tell for each stratum (language) how far it
+is safe: at a level the number of good documents that all rules together reject is held
+against the exact binomial distribution, and the level is certified if so few would be
+seen with probability ``delta`` or less were the true rate above ``alpha``. ``delta`` is
+shared among the strata (Bonferroni); within one, testing goes from the most lenient level
+on and ends with the first failure (fixed sequence), which needs no further correction. Of
+the certified levels the one that rejects most bad documents is used, the most lenient
+among equals. Rules passed on the way go back to the most lenient cutoff that catches the
+same bad documents, which can only reject fewer; a rule that catches none is left out.
+
+A trial is a distinct text that passes the base rule, so copies are no evidence. Strata with too few good labels for
+any certificate are pooled and certified as one, which bounds the false rejections of the
+pool and not of each member. What stays too small rejects nothing by these rules.
 """
 
 from __future__ import annotations
@@ -20,13 +25,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.distribution import join_on
 
-from .common import GAP_CHARS, aside, let, materialise, text_of, words
+from .common import GAP_CHARS, aside, bitmap, holds, let, materialise, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 ALPHA = 0.02
 DELTA = 0.05
-# Cutoffs tried by each rule, from lenient to strict.
+# Levels of the path, from lenient to strict.
 CUTOFFS = tuple(round(1.0 - 0.02 * i, 2) for i in range(50)) + (0.01, 0.005)
 
 
@@ -100,7 +105,10 @@ def features() -> Column:
     )
 
 
-RULES = ("symbols", "bangs", "capitals", "repeats", "lines")
+# In the order of the path.
+RULES = ("symbols", "bangs", "capitals", "lines", "repeats")
+# No cutoff is stricter than this: what ordinary prose of some language may have.
+FLOORS = {"symbols": 0.01, "bangs": 0.02, "capitals": 0.2, "lines": 0.2, "repeats": 0.1}
 
 
 def values(f: Column) -> Column:
@@ -113,12 +121,17 @@ def values(f: Column) -> Column:
         share(f["n_symbols"], f["word_chars"]),
         share(f["bangs"], f["w"]["n"]),
         share(f["upper"], f["word_chars"]),
-        share(f["w"]["repeat"], f["w"]["n"]),
         share(f["n_dup_lines"] * F.lit(10), f["w"]["n"]),
+        share(f["w"]["repeat"], f["w"]["n"]),
     )
     return F.create_map(*[x for k, v in zip(RULES, judged) for x in (F.lit(k), v)])
 
 
+def base_fails(f: Column) -> Column:
+    """Too few words, or too many of them in repeated windows."""
+    return (f["w"]["n"] < 10) | (f["w"]["repeat"] * 100 > f["w"]["n"] * 20)
+
+
 def log_binomial_below(n: Column, k: Column, rate: float) -> Column:
     """log P(X <= k) for X binomial with n trials, term by term in logarithms."""
     odds = math.log(rate) - math.log1p(-rate)
@@ -134,57 +147,101 @@ def log_binomial_below(n: Column, k: Column, rate: float) -> Column:
     return F.aggregate(steps, start, add, lambda acc: acc["sum"])
 
 
-def thresholds(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Per stratum a map ``_cuts`` from rule to certified cutoff.
+def ladder(rule: str) -> list[float]:
+    """The cutoffs of a rule."""
+    return [c for c in CUTOFFS if c >= FLOORS[rule]]
+
+
+# The path: at each level the rule that is tightened and its cutoff.
+PATH = tuple((r, c) for r in RULES for c in ladder(r))
+
+
+def certificates(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row per stratum with labels: what was certified for it, and on what.
 
     ``labelled`` has the stratum, ``_good`` (boolean) and ``_values`` (map of rule to
-    value). Rows are counted by rule and place among the cutoffs before anything is
-    shuffled, so a stratum of any size comes to one row per rule and cutoff.
+    value), one row for each distinct text. Result: ``good`` and ``bad`` labels of the
+    stratum, ``pooled``, ``level`` (null without a certificate), ``rejected`` good and
+    ``caught`` bad ones at that level, among those it was certified on, and ``_cuts``, a
+    map from rule to cutoff. Rows are counted by level before anything is shuffled.
     """
-    names = RULES
-    each = alpha / len(names)
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in CUTOFFS]), lambda c: F.col("_value") <= c))
-    counts = (
-        # The outer form, as the plain one filters on the values before the join and takes
-        # the counts once more for that; the map is never empty.
-        labelled.select(stratum, "_good", F.explode_outer("_values").alias("_rule", "_value"))
-        # The first cutoff, in the order of testing, that the value exceeds.
-        .withColumn("_at", place)
-        .groupBy(stratum, "_rule", "_at")
-        .agg(
-            F.sum(F.col("_good").cast("long")).alias("_g"),
-            F.sum((~F.col("_good")).cast("long")).alias("_b"),
-        )
+    # A rule without a value rejects nothing.
+    value = lambda r: F.coalesce(F.element_at("_values", F.lit(r)), F.lit(0.0))
+    steps = lambda r: F.array(*[F.lit(c) for c in ladder(r)])
+    within = lambda r: F.size(F.filter(steps(r), lambda c: value(r) <= c))
+    first = {r: [x for x, _ in PATH].index(r) for r in RULES}
+    # The first level that rejects the text; the number of levels if none does.
+    at = F.least(*[F.when(within(r) < len(ladder(r)), within(r) + first[r]) for r in RULES], F.lit(len(PATH)))
+    sums = lambda good, bad: [F.sum(good).alias("_g"), F.sum(bad).alias("_b")]
+    bad = lambda r, keep: F.when(~F.col("_good") & keep, value(r))
+    extremes = {f"_most_{r}": lambda c: F.max(c) for r in RULES} | {f"_next_{r}": lambda c: F.min(c) for r in RULES}
+    told = {f"_most_{r}": bad(r, F.lit(True)) for r in RULES} | {
+        # The least value that the rule's strictest cutoff catches.
+        f"_next_{r}": bad(r, value(r) > ladder(r)[-1]) for r in RULES
+    }
+    counts = labelled.groupBy(F.col(stratum).alias("_s"), at.alias("_at")).agg(
+        *sums(F.col("_good").cast("long"), (~F.col("_good")).cast("long")),
+        *[extremes[n](c).alias(n) for n, c in told.items()],
     )
-    family = labelled.select(stratum).distinct().agg(F.count("*") * F.lit(len(names))).scalar()
-    grid = counts.groupBy(stratum, "_rule").agg(
-        F.sum("_g").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_at", F.struct("_g", "_b")))).alias("_by")
+    counts = materialise(counts)
+    sizes = counts.groupBy("_s").agg(F.sum("_g").alias("good"), F.sum("_b").alias("bad"))
+    # So many good labels without one rejection are the least that certify a level.
+    family = sizes.agg(F.count("*").cast("double"))
+    bound = lambda family: F.lit(math.log(delta)) - F.log(family)
+    sizes = sizes.withColumn("_family", family.scalar())
+    sizes = sizes.withColumn("pooled", F.col("good") * math.log1p(-alpha) > bound(F.col("_family")))
+    sizes = materialise(sizes)
+    unit = F.when(F.col("pooled"), F.struct(F.lit(None).cast(counts.schema["_s"].dataType).alias("s"), F.lit(True).alias("p")))
+    unit = unit.otherwise(F.struct(F.col("_s").alias("s"), F.lit(False).alias("p")))
+    told = join_on(counts, sizes, ["_s"]).withColumn("_unit", unit)
+    by_level = told.groupBy("_unit", "_at").agg(
+        F.max("_family").alias("_family"), *sums(F.col("_g"), F.col("_b")),
+        *[extreme(F.col(n)).alias(n) for n, extreme in extremes.items()],
     )
-    zero = F.lit(0).cast("long")
-    cut = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(CUTOFFS)]))
-    rows = grid.select(stratum, "_rule", "_n", "_by", cut.alias("_cut"))
-    here = F.element_at("_by", F.col("_cut")["i"])
-    rows = rows.select(
-        stratum, "_rule", "_n", F.col("_cut")["i"].alias("_i"), F.col("_cut")["c"].alias("_c"),
-        F.coalesce(here["_g"], zero).alias("_g"), F.coalesce(here["_b"], zero).alias("_b"),
+    # A map of no more than the levels, and the level past the last.
+    filled = by_level.groupBy("_unit").agg(
+        F.max("_family").alias("_family"), F.sum("_g").alias("_n"),
+        F.map_from_entries(F.collect_list(F.struct("_at", F.struct("_g", "_b")))).alias("_by"),
+        *[extreme(F.col(n)).alias(n) for n, extreme in extremes.items()],
     )
-    along = Window.partitionBy(stratum, "_rule").orderBy("_i")
+    rows = filled.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(PATH) - 1))))
+    here = F.element_at("_by", F.col("_i"))
+    zero = F.lit(0).cast("long")
+    along = Window.partitionBy("_unit").orderBy("_i")
+    rows = rows.withColumns({"_g": F.coalesce(here["_g"], zero), "_b": F.coalesce(here["_b"], zero)})
     rows = rows.withColumns({"_g": F.sum("_g").over(along), "_b": F.sum("_b").over(along)})
-    possible = F.col("_g") <= F.col("_n") * F.lit(each)
-    seen = F.when(possible, log_binomial_below(F.col("_n"), F.col("_g"), each)).otherwise(F.lit(0.0))
-    rows = rows.withColumn("_ok", (seen <= F.lit(math.log(delta)) - F.log(family.cast("double"))) & possible & (F.col("_n") > 0))
+    possible = (F.col("_g") <= F.col("_n") * F.lit(alpha)) & (F.col("_n") > 0)
+    seen = F.when(possible, log_binomial_below(F.col("_n"), F.col("_g"), alpha)).otherwise(F.lit(0.0))
+    rows = rows.withColumn("_ok", (seen <= bound(F.col("_family"))) & possible)
     rows = rows.withColumn("_ok", F.min("_ok").over(along)).filter("_ok")
-    best = rows.groupBy(stratum, "_rule").agg(
-        F.max_by("_c", F.struct(F.col("_b"), -F.col("_i"))).alias("_c"), F.max("_b").alias("_caught")
+    i = F.col("_i")
+
+    def cut(r: str) -> Column:
+        """The cutoff of a rule at a level, null where it catches nothing or its turn has not come."""
+        here = F.get(steps(r), i - first[r])
+        passed = F.get(F.filter(steps(r), lambda c: c < F.col(f"_next_{r}")), F.lit(0))
+        own = F.when(F.col(f"_most_{r}") > here, here)
+        return F.when(i < first[r], None).when(i < first[r] + len(ladder(r)), own).otherwise(passed)
+
+    named = F.array(*[F.struct(F.lit(r).alias("r"), cut(r).alias("c")) for r in RULES])
+    useful = F.filter(named, lambda x: x["c"].isNotNull())
+    best = rows.withColumn("_cuts", F.map_from_entries(useful)).groupBy("_unit").agg(
+        F.max_by(F.struct("_i", "_g", "_b", "_cuts"), F.struct(F.col("_b"), -F.col("_i"))).alias("_best")
     )
-    # A rule that catches nothing bad is left out.
-    return (
-        best.filter("_caught > 0")
-        .groupBy(stratum)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_rule", "_c"))).alias("_cuts"))
+    best = best.withColumnRenamed("_unit", "_u")
+    found = sizes.withColumn("_unit", unit).join(best, F.col("_unit") == F.col("_u"), "left")
+    return found.select(
+        F.col("_s").alias(stratum), "good", "bad", "pooled", F.col("_best._i").alias("level"),
+        F.col("_best._g").alias("rejected"), F.col("_best._b").alias("caught"), F.col("_best._cuts").alias("_cuts"),
     )
 
 
+def thresholds(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Per stratum a map ``_cuts`` from rule to certified cutoff; strata without one are absent."""
+    found = certificates(labelled, stratum, alpha, delta)
+    return found.filter(F.size("_cuts") > 0).select(stratum, "_cuts")
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """``doc_id``, the stratum, the base counts, and ``kept``; other columns are left out.
 
@@ -195,22 +252,39 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
     return verdicts(docs.select("doc_id", "text", stratum), labels, stratum).drop("_f", "text")
 
 
+def trials(docs: DataFrame, known: DataFrame, stratum: str) -> DataFrame:
+    """The labelled texts that pass the base rule, once in a stratum, with ``_good`` and ``_values``.
+
+    A bitmap of fixed size leaves out most documents without a label before their
+    features are taken, so no text is shuffled to meet its label.
+    """
+    asked = bitmap(known.select(F.xxhash64("doc_id").alias("h")))
+    # Bound in one expression, or the counts would be taken once for each use.
+    some = docs.filter(holds(asked.scalar(), F.xxhash64("doc_id")))
+    some = some.select(
+        "doc_id", F.col(stratum).alias("_stratum"), F.xxhash64(text_of()).alias("_h"), F.length(text_of()).alias("_n"),
+        let(features(), lambda f: F.struct(values(f).alias("v"), base_fails(f).alias("f"))).alias("_j"),
+    )
+    texts = some.join(known, "doc_id").groupBy("_stratum", "_h", "_n")
+    # A text with labels of both kinds is good.
+    texts = texts.agg(F.max("_good").alias("_good"), F.any_value("_j").alias("_j"))
+    # After the sums, where it does not take the features of a text once more.
+    return texts.filter("NOT _j.f").select("_stratum", "_h", "_n", "_good", F.col("_j.v").alias("_values"))
+
+
 def verdicts(docs: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id").agg((F.max("quality") == 1).alias("_good"))
     )
-    # Bound in one expression, or the counts would be taken once for each use.
-    judged = let(features(), values).alias("_values")
-    labelled = docs.select("doc_id", F.col(stratum).alias("_stratum"), judged).join(known, "doc_id")
-    safe = materialise(thresholds(labelled, "_stratum"))
+    safe = materialise(thresholds(trials(docs, known, stratum), "_stratum"))
     rows = docs.withColumn("_stratum", F.col(stratum)).withColumn("_f", features())
     rows = join_on(rows, safe, ["_stratum"], "left").drop("_stratum")
     f = F.col("_f")
     n, repeat = f["w"]["n"], f["w"]["repeat"]
-    failed = (n < 10) | (repeat * 100 > n * 20)
+    failed = base_fails(f)
     cuts = F.coalesce("_cuts", F.create_map().cast("map<string,double>"))
-    rejected = F.exists(F.map_entries(cuts), lambda c: F.element_at(values(f), c["key"]) > c["value"])
+    rejected = let(values(f), lambda v: F.exists(F.map_entries(cuts), lambda c: F.element_at(v, c["key"]) > c["value"]))
     return rows.withColumns(
         {
             "n_words": n,

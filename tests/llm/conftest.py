@@ -10,6 +10,14 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, si
 LONG = "wörd alpha beta gamma delta " * 4000 + "a" * 3000 + " " * 2000 + "7" * 2500
 
 
+@pytest.fixture(autouse=True)
+def small_bitmaps(monkeypatch):
+    """So few bits that false hits are common: results must not depend on them."""
+    from tallyworks.llm import common
+
+    monkeypatch.setattr(common, "SLOTS", 1 << 12)
+
+
 @pytest.fixture(scope="session")
 def given(spark):
     """The given documents."""

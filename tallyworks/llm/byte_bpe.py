@@ -36,7 +36,7 @@ REMEMBERED = 1 << 18
 SHORT = 48
 # Short pieces merged together, and bytes of text encoded (ids decoded) at once.
 TOGETHER = 1 << 14
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 # Ids are kept as bytes, four for each.
 ID = np.dtype("<i4")
 NO_RANK = np.int64(1 << 40)

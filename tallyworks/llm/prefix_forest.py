@@ -10,8 +10,11 @@ by their exact cosine on the original vectors.
 Equal vectors are one node with their least ids, so copies never fill a prefix. Vectors
 that are close but not equal can share a whole string in more places than a search looks
 at; such a group is told apart by the sides of further hyperplanes of that tree through
-its own centre, again and again until no group is larger than the reach. The sorted array of a tree is dealt by place, not by prefix, into blocks of equal size that
-overlap their neighbours by the reach of a search; a frequent prefix is no larger block.
+its own centre, again and again until no group is larger than the reach. The sorted array of a
+tree is dealt by place, not by prefix, into blocks of one size, whatever the number of
+vectors; a frequent prefix is no larger block. A query goes to every block within its
+reach, so a vector is sent once for each tree, and the queries of a block are parted by
+hash where a long reach brings many.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ ENOUGH = 40_000
 REACH = 2048
 ROOM = 60_000
 GROWTH = 0.9
+# Places of a block, and blocks' worth of places whose queries one task compares with it.
+BLOCK = 4096
+SHARE = 16
 # Members of a group, drawn by hash, whose mean is its centre.
 CENTRE = 256
 SEED = 11
@@ -162,43 +168,47 @@ def common_bits(strings: np.ndarray, query: int, bits: int) -> np.ndarray:
     return bits - np.frexp((strings ^ query).astype(np.float64))[1]
 
 
+def window(members: pa.Table, reach: int):
+    """A function from a query's place to the rows of a block within its reach."""
+    place = members.column("place").to_numpy()
+    return lambda at: slice(*np.searchsorted(place, (at - reach, at + reach + 1)).tolist())
+
+
 def open_levels(bits: int, reach: int):
-    """Per query and tree: how many strings share at least so many bits, for each level."""
+    """Per query and block: how many strings share at least so many bits, for each level."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        own, text = table.column("own").to_numpy(), table.column("bits").to_numpy()
-        node = table.column("node").to_numpy()
-        ask = np.flatnonzero(own & table.column("asks").to_numpy())
+    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
+        members = members.sort_by("place")
+        text, near = members.column("bits").to_numpy(), window(members, reach)
         rows = []
-        for p in ask:
-            near = common_bits(text[max(0, p - reach) : p + reach + 1], text[p], bits)
-            at_least = np.bincount(near, minlength=bits + 1)[::-1].cumsum()[::-1]
+        for at, own in zip(queries.column("place").to_pylist(), queries.column("bits").to_pylist()):
+            shared = common_bits(text[near(at)], own, bits)
+            at_least = np.bincount(shared, minlength=bits + 1)[::-1].cumsum()[::-1]
             rows.append(at_least.astype(np.int64).tolist())
-        return pa.table({"node": pa.array(node[ask], pa.int64()), "held": pa.array(rows, pa.list_(pa.int64()))})
+        return pa.table({"node": queries.column("node"), "held": pa.array(rows, pa.list_(pa.int64()))})
 
     return run
 
 
 def nearest(bits: int, reach: int, top: int):
-    """Per query and tree: the nodes of greatest cosine among those at the opened levels."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        own, text = table.column("own").to_numpy(), table.column("bits").to_numpy()
-        node, level = table.column("node").to_numpy(), table.column("level").to_numpy(zero_copy_only=False)
-        vectors = matrix(table.column("vector"))
-        norms = np.sqrt((vectors * vectors).sum(axis=1))
-        ask = np.flatnonzero(own & table.column("asks").to_numpy())
+    """Per query and block: the nodes of greatest cosine among those at the opened levels."""
+
+    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
         query, found, scores = [], [], []
-        for p in ask:
-            first = max(0, p - reach)
-            near = np.flatnonzero(common_bits(text[first : p + reach + 1], text[p], bits) >= level[p]) + first
-            score = (vectors[near] * vectors[p]).sum(axis=1) / (norms[near] * norms[p])
-            best = np.lexsort((node[near], -score))[:top]
-            query += [int(node[p])] * len(best)
-            found += node[near[best]].tolist()
-            scores += score[best].tolist()
+        if len(queries) and len(members):
+            members = members.sort_by("place")
+            text, node, near = members.column("bits").to_numpy(), members.column("node").to_numpy(), window(members, reach)
+            vectors, asked = matrix(members.column("vector")), matrix(queries.column("vector"))
+            norms, lengths = (np.sqrt((x * x).sum(axis=1)) for x in (vectors, asked))
+            told = (queries.column(c).to_pylist() for c in ("node", "place", "bits", "level"))
+            for i, (number, at, own, level) in enumerate(zip(*told)):
+                part = near(at)
+                here = np.flatnonzero(common_bits(text[part], own, bits) >= level) + part.start
+                score = (vectors[here] * asked[i]).sum(axis=1) / (norms[here] * lengths[i])
+                best = np.lexsort((node[here], -score))[:top]
+                query += [number] * len(best)
+                found += node[here[best]].tolist()
+                scores += score[best].tolist()
         return pa.table(
             {"query": pa.array(query, pa.int64()), "node": pa.array(found, pa.int64()), "score": pa.array(scores, pa.float64())}
         )
@@ -217,51 +227,56 @@ def search(
     no part. Ties go to the smaller id; a query's own id is left out. The hyperplanes
     depend on the seed alone, and the centres of large groups on their members. With
     ``enough`` or fewer rows in all trees, every row is a candidate. ``enough`` and
-    ``reach`` follow from the number of nodes (``budget``) where they are not given, and a
-    block is twice the reach. An empty table gives an empty table.
+    ``reach`` follow from the number of nodes (``budget``) where they are not given; a task
+    holds ``block`` vectors and their queries, however many there are. An empty table gives
+    an empty table.
     """
-    if reach and block and reach > block:
-        raise ValueError("a search must not reach beyond the next block")
     rows = usable(vectors, id, vector).withColumn("asks", asks)
     nodes = materialise(
         rows.groupBy("vector").agg(F.min("id").alias("node"), F.max("asks").alias("asks"))
     )
     size = nodes.count()
     usual_enough, usual_reach = budget(size)
-    enough, reach = enough or usual_enough, reach or min(usual_reach, block or usual_reach)
-    block = block or 2 * reach
-    members = rows.join(nodes.select("vector", "node"), "vector").select("id", "asks", "node")
-    members = materialise(members)
+    enough, reach, block = enough or usual_enough, reach or usual_reach, block or BLOCK
+    copies = rows.join(nodes.select("vector", "node"), "vector").select("id", "asks", "node")
+    copies = materialise(copies)
     # A node's least ids are all that k places can show, and one more for the query itself.
     order = Window.partitionBy("node").orderBy("id")
-    least = members.select("node", "id").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
+    least = copies.select("node", "id").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
     named = nodes.mapInArrow(strings(trees, bits, seed), "tree int, bits long, node long, asks boolean")
     named = tell_apart(named, nodes, reach, bits, seed)
     placed = number_rows(named, ["tree", "bits", "deep", "node"], "place").drop("deep")
     inside = (F.col("place") % F.lit(max(1, size))).cast("long")
-    spread = placed.withColumn("place", inside).withColumn("block", F.floor(F.col("place") / block).cast("long"))
-    rest = F.col("place") % block
-    homes = F.array_compact(
-        F.array(
-            F.col("block"),
-            F.when((rest < reach) & (F.col("block") > 0), F.col("block") - 1),
-            F.when((rest >= block - reach) & (F.col("block") < max(0, size - 1) // block), F.col("block") + 1),
-        )
+    spread = materialise(placed.withColumn("place", inside).select("tree", "place", "bits", "node", "asks"))
+    # A block's queries lie within reach of it; parts of them meet a copy of the block each.
+    parts = max(1, -(-2 * reach // (SHARE * block)))
+    last = max(0, size - 1) // block
+    at = lambda place: F.floor(place / block).cast("long")
+    first_home = F.greatest(at(F.col("place") - reach), F.lit(0))
+    homes = F.explode(F.sequence(first_home, F.least(at(F.col("place") + reach), F.lit(last))))
+    part = F.pmod(F.xxhash64("node"), F.lit(parts))
+    queries = spread.filter("asks").drop("asks").withColumns({"home": homes, "part": part})
+    members = spread.drop("asks").withColumns(
+        {"home": at(F.col("place")), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))}
     )
-    spread = spread.withColumn("home", F.explode(homes)).withColumn("own", F.col("home") == F.col("block")).drop("block")
-    spread = materialise(spread)
-    opened = spread.groupBy("tree", "home").applyInArrow(open_levels(bits, reach), "node long, held array<long>")
+    group = ["tree", "home", "part"]
+    # Both sides come from one table; new names of their own keep their columns apart.
+    apart = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
+    both = lambda a, b: apart(a).groupBy(*group).cogroup(b.groupBy(*group))
+    opened = both(queries, members).applyInArrow(open_levels(bits, reach), "node long, held array<long>")
     sums = opened.groupBy("node").agg(*[F.sum(F.get("held", F.lit(i))).alias(f"_{i}") for i in range(bits + 1)])
     filled = F.size(F.filter(F.array(*[f"_{i}" for i in range(bits + 1)]), lambda n: n >= enough))
     levels = materialise(sums.select("node", F.greatest(filled - 1, F.lit(0)).alias("level")))
-    wide = spread.join(levels, "node", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    wide = wide.join(nodes.select("node", "vector"), "node")
-    found = wide.groupBy("tree", "home").applyInArrow(nearest(bits, reach, k + 1), "query long, node long, score double")
+    vector_of = nodes.select("node", "vector")
+    queries = queries.join(levels, "node").join(vector_of, "node")
+    found = both(queries, members.join(vector_of, "node")).applyInArrow(
+        nearest(bits, reach, k + 1), "query long, node long, score double"
+    )
     best = found.groupBy("query", "node").agg(F.max("score").alias("score"))
     first = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     best = best.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + 1).drop("_n")
     best = materialise(best)
-    queries = members.filter("asks").select(F.col("id").alias("query_id"), F.col("node").alias("query")).distinct()
+    queries = copies.filter("asks").select(F.col("id").alias("query_id"), F.col("node").alias("query")).distinct()
     shown = queries.join(best, "query").join(least.select("node", F.col("id").alias("vec_id")), "node")
     shown = shown.filter("vec_id <> query_id")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import text_of
 
+# Copies of one row that a task writes out.
+COPIES = 1 << 16
+
 
 @dataclass(frozen=True)
 class Node:
@@ -103,21 +106,28 @@ def place(df: DataFrame, key: Column, tree: Tree, into: str) -> DataFrame:
 def number_slots(df: DataFrame, shard: str, key: Column, order: list[str], into: str, cells: int = 1024) -> DataFrame:
     """Add ``into`` (long), gapless from 0 in every shard.
 
-    The rows of a shard are dealt to ``cells`` cells by a hash of the key; each cell
+    Equal rows are counted first, on the map side too, and get consecutive numbers. The
+    different rows of a shard are dealt to ``cells`` cells by a hash of the key; each cell
     starts after the rows of the cells before it, so a task sorts one cell of one shard,
-    never a shard. ``order`` settles the order within a cell; equal rows are alike anyway.
+    never a shard. ``order`` settles the order within a cell and must tell different rows
+    apart. Many copies are written out again by several tasks, ``COPIES`` rows at a time.
     """
-    rows = df.withColumn("_cell", F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(cells)).cast("int"))
-    sizes = rows.groupBy(shard, "_cell").agg(F.count("*").alias("_n"))
+    rows = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(cells)).cast("int"))
+    sizes = rows.groupBy(shard, "_cell").agg(F.sum("_copies").alias("_n"))
     start = F.sum("_n").over(Window.partitionBy(shard).orderBy("_cell")) - F.col("_n")
     starts = sizes.select(F.col(shard).alias("_s"), F.col("_cell").alias("_c"), start.alias("_start"))
-    inner = F.row_number().over(Window.partitionBy(shard, "_cell").orderBy(*order)) - 1
-    return (
-        rows.withColumn("_inner", inner)
-        .join(starts, (F.col(shard) == F.col("_s")) & (F.col("_cell") == F.col("_c")))
-        .withColumn(into, F.col("_start") + F.col("_inner"))
-        .drop("_cell", "_inner", "_s", "_c", "_start")
+    along = Window.partitionBy(shard, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("_inner", F.sum("_copies").over(along) - F.col("_copies")).join(
+        starts, (F.col(shard) == F.col("_s")) & (F.col("_cell") == F.col("_c"))
     )
+    zero = F.lit(0).cast("long")
+    parts = F.sequence(zero, F.floor((F.col("_copies") - 1) / COPIES))
+    dealt = placed.withColumn("_part", F.explode(parts)).repartition("_cell", shard, "_part")
+    last = F.least(F.lit(COPIES).cast("long"), F.col("_copies") - F.col("_part") * COPIES) - 1
+    found = dealt.withColumn("_copy", F.explode(F.sequence(zero, last)))
+    number = F.col("_start") + F.col("_inner") + F.col("_part") * COPIES + F.col("_copy")
+    return found.withColumn(into, number).select(*df.columns, into)
 
 
 def assign(docs: DataFrame, tree: Tree) -> DataFrame:

@@ -87,9 +87,17 @@ def test_budget_grows_with_the_table(spark, monkeypatch):
     assert prefix_forest.recall(found, exact_neighbours(spark, x, range(0, 6000, 100))) >= 0.9
 
 
-def test_reach_is_bounded(spark):
-    with pytest.raises(ValueError):
-        prefix_forest.search(spark.range(1), F.lit(True), "id", "v", block=10, reach=11)
+def test_a_reach_may_span_many_blocks(spark):
+    # A query goes to every block within its reach, and what is found does not depend on blocks.
+    x = np.random.default_rng(9).standard_normal((900, 16))
+    table = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = []
+    for block in (8, 64, 4096):
+        rows = prefix_forest.search(
+            table, F.col("id") % 50 == 0, "vec_id", "embedding", trees=6, enough=600, block=block, reach=130
+        )
+        found.append(sorted(map(tuple, rows.collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 90
 
 
 def test_pipeline_stages_on_messy_rows(spark, messy):

@@ -10,17 +10,18 @@ their likeness.
 ``edits`` compares every text with the next one in a given order and with an edited form
 that ends like the next one. Rows are range-partitioned and sorted once, so the next row is
 at hand but for the last one of each partition; those few are joined with the first rows
-of the partitions that follow.
+of the partitions that follow and finished by a few tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from .common import materialise, text_of
@@ -33,6 +34,10 @@ SEED = 11
 BLOCK = 4096
 # Rows of one result batch.
 ROWS = 2048
+# Rows read and handed to Python at once, so that a batch of whole texts stays small.
+TEXTS = 512
+# Ends of partitions that one task finishes.
+SEAMS = 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -218,6 +223,21 @@ _FIELDS = [
 ]
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Spark reads and hands over ``TEXTS`` rows at once, unless fewer are set."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name, rows in before.items():
+        # No limit is given by zero or less.
+        spark.conf.set(name, str(min(int(rows), TEXTS) if int(rows) > 0 else TEXTS))
+    try:
+        yield
+    finally:
+        for name, rows in before.items():
+            spark.conf.set(name, rows)
+
+
 def edits(
     docs: DataFrame, order: str = "doc_id", k: int = K, sketches: int = SKETCHES, picked: int = PICKED, seed: int = SEED
 ) -> DataFrame:
@@ -269,7 +289,8 @@ def edits(
         schema = pa.schema([*zip(names, types), *_FIELDS])
         yield from _batches(found(schema), schema)
 
-    told = materialise(lined.mapInArrow(walk, f"part int, state int, id {kind}, text string, {RESULT}"))
+    with _small_batches(docs.sparkSession):
+        told = materialise(lined.mapInArrow(walk, f"part int, state int, id {kind}, text string, {RESULT}"))
 
     # One row for each partition with rows: the first text of the next one, or of the first.
     firsts = told.filter("state = 1").select("part", F.col("text").alias("following"))
@@ -277,8 +298,10 @@ def edits(
     least = parts.agg(F.min("part"))
     after = F.coalesce(F.lead("part").over(Window.orderBy("part")), least.scalar())
     ends = told.filter("state = 2").select("part", "id", "text")
-    ends = ends.join(parts.select("part", after.alias("_next")), "part")
+    ends = ends.join(F.broadcast(parts.select("part", after.alias("_next"))), "part")
     ends = ends.join(firsts.withColumnRenamed("part", "_next"), "_next").select("id", "text", "following")
+    # Else each end is a task and a file of its own.
+    ends = ends.repartition(max(1, -(-parts.count() // SEAMS)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = made()

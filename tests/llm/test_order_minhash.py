@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -151,3 +152,59 @@ def test_likeness_falls_with_edits():
             letters[i] = "#"
         near.append(alike(fingerprint(text), fingerprint("".join(letters))))
     assert near == sorted(near, reverse=True) and near[0] == 1.0 and near[1] > near[3] + 0.3
+
+
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.parquet.columnarReaderBatchSize": "4096"}
+
+
+def test_texts_are_read_and_handed_over_in_small_batches(spark, given, monkeypatch):
+    real, seen = order_minhash.materialise, []
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    def spy(df):
+        seen.extend(r["n"] for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").collect())
+        seen.append(int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")))
+        return real(df)
+
+    monkeypatch.setattr(order_minhash, "materialise", spy)
+    assert {name: spark.conf.get(name) for name in BATCHES} == BATCHES
+    assert found(order_minhash.digest(given)) == by_hand(given)
+    assert len(seen) > 2 and max(seen) <= 512
+    assert {name: spark.conf.get(name) for name in BATCHES} == BATCHES
+
+
+def test_fewer_rows_at_once_stay_set(spark, given, monkeypatch):
+    seen = []
+
+    def spy(df):
+        seen.append({name: int(spark.conf.get(name)) for name in BATCHES})
+        raise ValueError("not written")
+
+    monkeypatch.setattr(order_minhash, "materialise", spy)
+    for rows, at_once in (("100", 100), ("0", 512)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            with pytest.raises(ValueError, match="not written"):
+                order_minhash.edits(given)
+            assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert seen.pop()["spark.sql.execution.arrow.maxRecordsPerBatch"] == at_once
+
+
+def test_ends_of_many_partitions_are_a_few_tasks(spark, given):
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    for name, value in zip(("spark.sql.shuffle.partitions", *names), ("70", "false", "-1")):
+        spark.conf.set(name, value)
+    try:
+        result = order_minhash.digest(given)
+        assert found(result) == by_hand(given)
+        # The written rows are read by a task a core, the ends of 70 partitions by two more.
+        assert result.select(F.spark_partition_id().alias("task")).distinct().count() <= 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        for name in names:
+            spark.conf.unset(name)
